@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierfold.llm import bpe, packing, secrets, tiff
+from tierfold.llm import additive, bpe, packing, secrets, simhash, suffixes, tiff, wrappers
 from tierfold.llm.common import table
 
 END_ID = 2
@@ -22,10 +22,27 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return additive.search(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_features(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_multi_50k.tiktoken"))
 
@@ -35,7 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_tiff, op8_bpe, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_additive_ann, op3_tiff, op4_suffix_array, op5_simhash, op7_wrapper_induction, op8_bpe, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
