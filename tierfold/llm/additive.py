@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of one full-dimensional word from each of ``STAGES`` codebooks. The codebooks are fitted on a
-bounded sample: k-means on the residuals stage by stage, then jointly by least squares. Every vector is encoded by beam
+bounded sample: k-means on the residuals stage by stage, then sweeps of
+least squares over all books. Every vector is encoded by beam
 search and stored as its code bytes and the squared norm of its reconstruction. A query's inner products with all words
 make a lookup table, so that the distance to a coded vector is a sum of table entries and the stored norm. The ``DEPTH``
 best by that score are ranked again by the exact distance.
@@ -26,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tierfold.llm.common import cut, schema_of
 
-STAGES, WORDS, BEAM = 8, 256, 6
+STAGES, WORDS, BEAM, SWEEPS = 32, 256, 4, 2
 #: Vectors that the codebooks are fitted on, at most about.
 SAMPLE = 16384
 #: Candidates of a query that are ranked exactly.
@@ -48,7 +49,7 @@ def nearest_word(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return ((words**2).sum(axis=1)[None, :] - 2 * x @ words.T).argmin(axis=1)
 
 
-def fit(x: np.ndarray, stages: int = STAGES, words: int = WORDS, rounds: int = 8) -> np.ndarray:
+def fit(x: np.ndarray, stages: int = STAGES, words: int = WORDS, rounds: int = 5) -> np.ndarray:
     """stages x words x dimensions."""
     rng = np.random.default_rng(SEED)
     x = x.astype(np.float32)
@@ -58,26 +59,23 @@ def fit(x: np.ndarray, stages: int = STAGES, words: int = WORDS, rounds: int = 8
         c = rest[rng.choice(len(rest), words, replace=len(rest) < words)].copy()
         for _ in range(rounds):
             near = nearest_word(rest, c)
-            sums = np.zeros_like(c, np.float64)
-            np.add.at(sums, near, rest)
+            sums = np.stack([np.bincount(near, rest[:, d], minlength=words) for d in range(x.shape[1])], axis=1)
             n = np.bincount(near, minlength=words)
             c[n > 0] = (sums[n > 0] / n[n > 0, None]).astype(np.float32)
             c[n == 0] = rest[rng.choice(len(rest), int((n == 0).sum()))]
         books[s] = c
         rest -= c[nearest_word(rest, c)]
-    # All words together, given the codes: normal equations with a slight ridge towards the present words.
+    # All words again, given the codes: each book becomes the means of what the others leave, for a few sweeps.
     codes = encode(x, books)
-    which = codes.astype(np.int64) + np.arange(stages) * words
-    size = stages * words
-    gram = np.zeros((size, size))
-    for a in range(stages):
-        for b in range(stages):
-            np.add.at(gram, (which[:, a], which[:, b]), 1.0)
-    right = np.zeros((size, x.shape[1]))
-    for a in range(stages):
-        np.add.at(right, which[:, a], x.astype(np.float64))
-    ridge = 0.05 * np.eye(size)
-    return np.linalg.solve(gram + ridge, right + ridge @ books.reshape(size, -1)).astype(np.float32).reshape(books.shape)
+    rest = x - decode(codes, books)
+    for _ in range(SWEEPS):
+        for s in range(stages):
+            rest += books[s][codes[:, s]]
+            n = np.bincount(codes[:, s], minlength=words)
+            sums = np.stack([np.bincount(codes[:, s], rest[:, d], minlength=words) for d in range(x.shape[1])], axis=1)
+            books[s][n > 0] = sums[n > 0] / n[n > 0, None]
+            rest -= books[s][codes[:, s]]
+    return books
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
