@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierfold.llm import additive, bpe, packing, secrets, simhash, suffixes, tiff, wrappers
+from tierfold.llm import additive, bpe, licences, packing, quality, secrets, simhash, suffixes, tiff, wrappers
 from tierfold.llm.common import table
 
 END_ID = 2
@@ -39,6 +40,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path: source, language and id stand for one."""
+    rows = table(spark, sf_dir, "documents")
+    return licences.scan(rows, F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+
+
 def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
@@ -47,12 +54,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.json"), END_ID))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_additive_ann, op3_tiff, op4_suffix_array, op5_simhash, op7_wrapper_induction, op8_bpe, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_additive_ann, op3_tiff, op4_suffix_array, op5_simhash, op6_licence_scan, op7_wrapper_induction, op8_bpe, op9_quality, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
