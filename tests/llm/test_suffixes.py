@@ -87,7 +87,7 @@ def test_loser_tree_merges(runs):
         assert (back == r).all()
         wide = np.zeros((len(r), suffixes.WORDS * 8), np.uint8)
         wide[:, : suffixes.KEY] = r
-        words.append(wide.view(">u8").tolist())
+        words.append(wide.view(">u8"))
         lcps.append((np.frombuffer(lcp, np.uint8) // 8).tolist())
     got = [bytes(rows[j][i]) for j, i in suffixes.merge(words, lcps)]
     assert got == sorted(bytes(x) for r in rows for x in r)

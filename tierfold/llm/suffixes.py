@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,6 +44,7 @@ KEY = LENGTH + LEFT + 2
 WORDS = -(-KEY // 8)
 RUN_BYTES = 6 << 20
 PART = 1 << 18
+AHEAD = 64
 NO_ID = np.iinfo(np.int64).max
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -248,22 +250,22 @@ class Suffixes:
 
 
 def front_code(keys: np.ndarray) -> tuple[bytes, bytes]:
-    """(common prefix with the row before, remaining bytes) of sorted keys."""
+    """(common prefix with the row before, remaining bytes packed) of sorted keys."""
     lcp = np.zeros(len(keys), np.uint8)
     lcp[1:] = (keys[1:] != keys[:-1]).argmax(axis=1)
-    return lcp.tobytes(), keys[np.arange(KEY) >= lcp[:, None]].tobytes()
+    return lcp.tobytes(), zstandard.compress(keys[np.arange(KEY) >= lcp[:, None]].tobytes(), 3)
 
 
 def front_decode(lcp: np.ndarray, tail: bytes) -> np.ndarray:
     own = np.arange(KEY) >= lcp[:, None]
     row = np.maximum.accumulate(np.where(own, np.arange(len(lcp), dtype=np.int32)[:, None], 0), axis=0)
     filled = np.zeros(own.shape, np.uint8)
-    filled[own] = np.frombuffer(tail, np.uint8)
+    filled[own] = np.frombuffer(zstandard.decompress(tail), np.uint8)
     return np.take_along_axis(filled, row, axis=0)
 
 
-def merge(keys: list[list[list[int]]], lcps: list[list[int]]) -> list[tuple[int, int]]:
-    """(run, row) in order of key, by a loser tree. keys: rows of words; lcps: words in common with the row before.
+def merge(keys: list[np.ndarray], lcps: list[list[int]]) -> list[tuple[int, int]]:
+    """(run, row) in order of key, by a loser tree. keys: rows x words; lcps: words in common with the row before.
 
     Each node keeps the loser of its match with the number of words that it shares with the last winner. The one that
     shares more is the smaller; only if both share as many are their words compared, from there on.
@@ -272,7 +274,9 @@ def merge(keys: list[list[list[int]]], lcps: list[list[int]]) -> list[tuple[int,
     while k < len(keys):
         k *= 2
     n_rows = [len(x) for x in keys] + [0] * (k - len(keys))
-    head: list[list[int] | None] = [x[0] if x else None for x in keys] + [None] * (k - len(keys))
+    # A few rows of each run at a time are Python numbers.
+    near = [x[:AHEAD].tolist() for x in keys] + [[]] * (k - len(keys))
+    head: list[list[int] | None] = [x[0] if x else None for x in near]
     share = [0] * k
     at = [0] * k
     tree = [0] * k
@@ -313,7 +317,9 @@ def merge(keys: list[list[list[int]]], lcps: list[list[int]]) -> list[tuple[int,
         i += 1
         at[w] = i
         if i < n_rows[w]:
-            head[w] = keys[w][i]
+            if not i % AHEAD:
+                near[w] = keys[w][i : i + AHEAD].tolist()
+            head[w] = near[w][i % AHEAD]
             share[w] = lcps[w][i]
         else:
             head[w] = None
@@ -404,7 +410,7 @@ def resolve(t: pa.Table) -> list[dict]:
     for m in mats:
         wide = np.zeros((len(m), WORDS * 8), np.uint8)
         wide[:, :KEY] = m
-        words.append(wide.view(">u8").tolist())
+        words.append(wide.view(">u8"))
     order = np.array(merge(words, [(a // 8).tolist() for a in lcps]), np.int64)
     del words
     base = np.concatenate([[0], np.cumsum([len(m) for m in mats])])[:-1]
