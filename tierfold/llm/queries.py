@@ -13,14 +13,14 @@ from tierfold.llm.common import table
 END_ID = 2
 
 
-def _vocabulary(name: str) -> tuple[str, str]:
+def vocabulary(name: str) -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.tiktoken"))
+    return secrets.scan(table(spark, sf_dir, "documents"), *vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.json"), END_ID))
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), *vocabulary("byte_bpe_50k.json"), END_ID))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
