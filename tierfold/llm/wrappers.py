@@ -102,7 +102,6 @@ def blocks(html: str) -> list[Block]:
     stack = [_Open("", (), False, False, False)]
     text: list[str] = []
     links = 0
-    cut_at: tuple[_Open, ...] | None = None
     at, n = 0, len(html)
 
     def flush() -> None:
@@ -182,7 +181,7 @@ def blocks(html: str) -> list[Block]:
             skipped = True
         path = (*top.path, label) if tag in BLOCKS else top.path
         stack.append(_Open(tag, path, skipped, inside, top.link or tag == "a"))
-        if cut_at is None and len(stack) > 2000:  # markup nested without end: inner elements stay on the last level
+        if len(stack) > 2000:  # markup nested without end: inner elements stay on the last level
             stack.pop(-2)
     flush()
     return out
