@@ -11,8 +11,10 @@ table: no rows. Further columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from heapq import heappop, heappush
+from operator import add
 
 from pyspark.sql import DataFrame
 
@@ -20,8 +22,10 @@ from tierfold.llm.common import map_rows, text_rows
 
 #: Bits of one word of the bitmap; 256 words cover 65,536 ranks.
 WIDTH = 256
+#: Ids moved up by 17 bits, so that a pair is one number.
+SHIFTED = [k << 17 for k in range(1 << 17)]
 #: Pre-tokens that one generation of the cache holds; two generations live at once.
-CACHE = 200_000
+CACHE = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,6 +73,12 @@ class Encoder:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        if max(ranks.values(), default=0) >= len(SHIFTED) or WIDTH != 256:
+            raise ValueError("ranks of up to 17 bits")
+        self.bits_of = [1 << k for k in range(max(WIDTH, len(self.queue.words)))]
+        self.id_of_byte = [ranks[bytes([b])] for b in range(256)]
+        # Every way to split a token into two gives a pair that has the token's rank.
+        self.rank_of_pair = {ranks[t[:k]] << 17 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.text_of = {r: str(r) for r in self.bytes_of}
         self.young: dict[str, tuple[int, ...]] = {}
@@ -76,49 +86,67 @@ class Encoder:
         self.cache = cache
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """Ids of one pre-token. RankQueue's push and pop stand here in line, as they are most of the work."""
+        whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
         n = len(piece)
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n
-        queue, get = self.queue, ranks.get
-        push, pop = queue.push, queue.pop
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
+        ids = [*map(self.id_of_byte.__getitem__, piece)]
+        rank_of = self.rank_of_pair.get
+        queue = self.queue
+        buckets, words, summary, bits_of = queue.buckets, queue.words, 0, self.bits_of
+        # pair: the rank of a position and its successor, or None; it tells whether an entry is stale.
+        pair = [*map(rank_of, map(add, map(SHIFTED.__getitem__, ids), ids[1:])), None]
+        for i, r in enumerate(pair):
             if r is not None:
-                pair[i] = r
-                push(r, i)
-        while queue.summary:
-            r, i = pop()
+                bucket = buckets[r]
+                if not bucket:
+                    w = r >> 8
+                    words[w] |= bits_of[r & 255]
+                    summary |= bits_of[w]
+                bucket.append(i)  # positions ascend, so the bucket is a heap
+        nxt, prv = [*range(1, n + 1)], [*range(-1, n - 1)]
+        while summary:
+            w = (summary & -summary).bit_length() - 1
+            bits = words[w]
+            low = bits & -bits
+            r = (w << 8) + low.bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket.pop()
+                words[w] = bits ^ low
+                if bits == low:
+                    summary ^= bits_of[w]
             if pair[i] != r:
                 continue
             j = nxt[i]
-            merged = parts[i] + parts[j]
-            parts[i], parts[j], pair[j] = merged, None, -1
             k = nxt[i] = nxt[j]
+            ids[i], ids[j], pair[j] = r, -1, None
             if k < n:
                 prv[k] = i
-                s = get(merged + parts[k])
-                if s is None:
-                    pair[i] = -1
-                else:
-                    pair[i] = s
-                    push(s, i)
+                s = pair[i] = rank_of(r << 17 | ids[k])
+                if s is not None:
+                    bucket = buckets[s]
+                    if not bucket:
+                        w = s >> 8
+                        words[w] |= bits_of[s & 255]
+                        summary |= bits_of[w]
+                    heappush(bucket, i)
             else:
-                pair[i] = -1
+                pair[i] = None
             h = prv[i]
             if h >= 0:
-                s = get(parts[h] + merged)
-                if s is None:
-                    pair[h] = -1
-                elif s != pair[h]:
-                    pair[h] = s
-                    push(s, h)
-        return tuple([ranks[p] for p in parts if p is not None])
+                s = pair[h] = rank_of(ids[h] << 17 | r)
+                if s is not None:
+                    bucket = buckets[s]
+                    if not bucket:
+                        w = s >> 8
+                        words[w] |= bits_of[s & 255]
+                        summary |= bits_of[w]
+                    heappush(bucket, h)
+        return tuple([x for x in ids if x >= 0])
 
     def miss(self, piece: str) -> tuple[int, ...]:
         ids = self.old.get(piece)
@@ -152,6 +180,7 @@ def encoder(vocabulary: str, pattern: str) -> Encoder:
     key = (vocabulary, pattern)
     if key not in _made:
         _made[key] = Encoder(load_ranks(vocabulary), pattern)
+        gc.freeze()  # its tables needn't be looked through for garbage again and again
     return _made[key]
 
 
