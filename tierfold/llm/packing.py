@@ -12,8 +12,11 @@ the order of (length, doc_id, piece). Repeated rows: packed each. Empty table: n
 
 from __future__ import annotations
 
+import gc
 import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -26,8 +29,8 @@ from tierfold.llm.common import cut, map_rows, schema_of, text_rows
 CAPACITY = 1024
 OPEN_BINS = 4096
 #: Pieces shorter than the capacity that one packer gets, on average.
-PACKER = 8192
-CACHE = 200_000
+PACKER = 4096
+CACHE = 400_000
 
 
 class Ids:
@@ -45,6 +48,8 @@ class Ids:
             pre = json.load(f)["pre_tokenizer"]
         if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             raise ValueError(f"{vocabulary}: a byte-level pre-tokenizer without prefix space is needed")
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are taken as they lie in memory: little-endian numbers of 4 bytes")
         self.model = Tokenizer.from_file(vocabulary).model
         # Fixed values of the format: bytes that print stand for themselves, the others for code points from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,7 +63,7 @@ class Ids:
     def miss(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
+            ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
         if len(self.young) >= self.cache:
             self.old, self.young = self.young, {}
         self.young[piece] = ids
@@ -83,6 +88,7 @@ def ids_of(vocabulary: str, pattern: str) -> Ids:
     key = (vocabulary, pattern)
     if key not in _made:
         _made[key] = Ids(vocabulary, pattern)
+        gc.freeze()  # its tables needn't be looked through for garbage again and again
     return _made[key]
 
 
