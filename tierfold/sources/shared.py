@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def findable(spark: SparkSession) -> SparkSession:
+    """Python workers look for this package where the driver has it, besides where --py-files puts it on a cluster."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    return spark
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where it is unset, as in local tests."""
