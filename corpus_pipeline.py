@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from tierfold.llm import copies, packing, quality, secrets, suffixes
 from tierfold.llm.common import shared_dir, table
 from tierfold.llm.queries import END_ID, vocabulary
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from tierfold.sources.shared import findable
 
 
 def _columns(df: DataFrame) -> DataFrame:
@@ -49,12 +48,16 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(packing.pieces(docs, *vocabulary("byte_bpe_50k.json"), END_ID))
 
 
+def _stage(f):
+    return lambda spark, docs, sf_dir: f(findable(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("SimHash near-dedup", near_dedup_stage),
-    ("suffix-array dedup", substring_dedup_stage),
-    ("secret scans", secrets_stage),
-    ("best-fit packing", packing_stage),
+    ("quality classifier", _stage(quality_stage)),
+    ("SimHash near-dedup", _stage(near_dedup_stage)),
+    ("suffix-array dedup", _stage(substring_dedup_stage)),
+    ("secret scans", _stage(secrets_stage)),
+    ("best-fit packing", _stage(packing_stage)),
 ]
 
 #: Stages run tokenizers, suffix sorts and a fitted classifier, which SQL doesn't express; the tests hold them against brute force.
