@@ -460,8 +460,10 @@ def removed(docs: pa.Table, found: pa.Table, buckets: int) -> tuple[list[bytes],
     who, which = who[on], which[on]
     place = s.start[s.doc[who]] + s.place[who]
     size = len(s.buffer) + 1
-    depth = np.bincount(place - last[which], minlength=size) - np.bincount(place - first[which] + LENGTH, minlength=size)
-    gone = np.cumsum(depth) > 0
+    depth = np.bincount(place - last[which], minlength=size)
+    depth -= np.bincount(place - first[which] + LENGTH, minlength=size)
+    gone = np.cumsum(depth, out=depth) > 0
+    del depth, place, who, which
     turn = np.diff(gone.astype(np.int8), prepend=0)
     starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     k = np.searchsorted(s.start, starts, "right") - 1
