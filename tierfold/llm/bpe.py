@@ -13,8 +13,11 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from collections.abc import Callable
 from heapq import heappop, heappush
+from itertools import chain
 from operator import add
+from typing import Any
 
 from pyspark.sql import DataFrame
 
@@ -64,6 +67,30 @@ class RankQueue:
         return rank, at
 
 
+class Known(dict):
+    """What a function gives for a key, kept for the keys of late: two generations of at most ``size``."""
+
+    def __init__(self, make: Callable[[str], Any], size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def rarely_collect() -> None:
+    """Large caches needn't be looked through for garbage again and again; nothing in them is cyclic."""
+    gc.freeze()
+    gc.set_threshold(100_000, 50, 100)
+
+
 class Encoder:
     """Pre-tokens to ids by ``ranks``; ids to bytes."""
 
@@ -81,9 +108,7 @@ class Encoder:
         self.rank_of_pair = {ranks[t[:k]] << 17 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.text_of = {r: str(r) for r in self.bytes_of}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.cache = cache
+        self.known = Known(lambda piece: self.merge(piece.encode()), cache)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token. RankQueue's push and pop stand here in line, as they are most of the work."""
@@ -148,25 +173,8 @@ class Encoder:
                     heappush(bucket, h)
         return tuple([x for x in ids if x >= 0])
 
-    def miss(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.merge(piece.encode())
-        if len(self.young) >= self.cache:
-            self.old, self.young = self.young, {}
-        self.young[piece] = ids
-        return ids
-
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        get, miss, extend = self.young.get, self.miss, out.extend
-        for piece in self.split(text):
-            ids = get(piece)
-            if ids is None:
-                ids = miss(piece)
-                get = self.young.get
-            extend(ids)
-        return out
+        return [*chain.from_iterable(map(self.known.__getitem__, self.split(text)))]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -180,7 +188,7 @@ def encoder(vocabulary: str, pattern: str) -> Encoder:
     key = (vocabulary, pattern)
     if key not in _made:
         _made[key] = Encoder(load_ranks(vocabulary), pattern)
-        gc.freeze()  # its tables needn't be looked through for garbage again and again
+        rarely_collect()
     return _made[key]
 
 
