@@ -12,7 +12,6 @@ the order of (length, doc_id, piece). Repeated rows: packed each. Empty table: n
 
 from __future__ import annotations
 
-import gc
 import json
 import sys
 import zlib
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tierfold.llm.bpe import Known, rarely_collect
 from tierfold.llm.common import cut, map_rows, schema_of, text_rows
 
 CAPACITY = 1024
@@ -56,29 +56,13 @@ class Ids:
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.split = regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.cache = cache
-
-    def miss(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        if len(self.young) >= self.cache:
-            self.old, self.young = self.young, {}
-        self.young[piece] = ids
-        return ids
+        self.known = Known(self.encode, cache)
+
+    def encode(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        miss, get = self.miss, self.young.get
-        out = []
-        for piece in self.split(text):
-            ids = get(piece)
-            if ids is None:
-                ids = miss(piece)
-                get = self.young.get
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
 
 _made: dict[tuple[str, str], Ids] = {}
@@ -88,7 +72,7 @@ def ids_of(vocabulary: str, pattern: str) -> Ids:
     key = (vocabulary, pattern)
     if key not in _made:
         _made[key] = Ids(vocabulary, pattern)
-        gc.freeze()  # its tables needn't be looked through for garbage again and again
+        rarely_collect()
     return _made[key]
 
 
