@@ -28,7 +28,7 @@ WIDTH = 256
 #: Ids moved up by 17 bits, so that a pair is one number.
 SHIFTED = [k << 17 for k in range(1 << 17)]
 #: Pre-tokens that one generation of the cache holds; two generations live at once.
-CACHE = 400_000
+CACHE = 700_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
