@@ -30,7 +30,7 @@ CAPACITY = 1024
 OPEN_BINS = 4096
 #: Pieces shorter than the capacity that one packer gets, on average.
 PACKER = 4096
-CACHE = 400_000
+CACHE = 700_000
 
 
 class Ids:
