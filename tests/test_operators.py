@@ -222,7 +222,8 @@ def test_fill_as_model(spark, seed):
     as_rows = lambda m: [("s", k, i, v) for (k, i), v in m.items()]
     got = compare.fill(frame(spark, as_rows(source)), frame(spark, as_rows(target)), ladder, ladder, now, "average", 0.2)
     want = model_fill(source, target, ladder, now, "average", 0.2)
-    keep = lambda k, i: i > now - ladder[k].retention + ladder[k].step
+    # In the model's rings a point as old as the level keeps takes the slot of the newest.
+    keep = lambda k, i: now - ladder[k].retention + ladder[k].step < i < now // ladder[k].step * ladder[k].step
     assert {(r.level, r.interval): round(r.value, 9) for r in got.collect() if keep(r.level, r.interval)} == {q: round(v, 9) for q, v in want.items() if keep(*q)}
     strict = compare.fill(frame(spark, as_rows(source)), frame(spark, as_rows(target)), ladder, ladder, now, "average", 0.2, mode="strict")
     inside = {q: v for q, v in target.items() if q[1] > now - ladder[q[0]].retention}
