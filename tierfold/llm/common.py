@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from tierfold.sources.shared import settle as cut
+from tierfold.sources.shared import shared_folder as shared_dir
+
+__all__ = ["cut", "map_rows", "schema_of", "shared_dir", "table", "text_rows"]
+
 #: Rows that a Python function sees at once; with the 64 MB that Spark puts in an Arrow batch at most.
 STEP = 1024
 
@@ -40,21 +45,3 @@ def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[[dict[str, lis
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, ddl)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: lineage ends in files that every executor reads."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
