@@ -115,6 +115,7 @@ def fill(source: DataFrame, target: DataFrame, ladder: Ladder, source_ladder: La
             newer = now - y.retention
         points = source.where(F.col("value").isNotNull() & reduce(Column.__or__, pieces)).withColumn("slot", ceil_to_step("interval", x.step))
         raw = points.join(slots, ["series_id", "slot"], "left_semi").select("series_id", F.col("interval").alias("ts"), "value", F.lit(0).cast("long").alias("arrival"))
-        state = settle(cascade(state, direct_writes(raw, ladder, now), ladder, method, xff))
+        writes = settle(direct_writes(raw, ladder, now))  # each level of the cascade reads them
+        state = settle(cascade(state, writes, ladder, method, xff))
         end = now - x.retention
     return state

@@ -28,7 +28,7 @@ def resize(state: DataFrame, old: Ladder, new: Ladder, now: int, method: str, xf
     for w in reversed(_old_windows(old, now)):
         known = state.where((F.col("level") == w.level) & (F.col("interval") >= w.lo) & (F.col("interval") < w.hi) & F.col("value").isNotNull())
         raw = known.select("series_id", F.col("interval").alias("ts"), "value", F.lit(0).cast("long").alias("arrival"))
-        out = settle(cascade(out, direct_writes(raw, new, now), new, method, xff))
+        out = settle(cascade(out, settle(direct_writes(raw, new, now)), new, method, xff))
     return out
 
 
@@ -59,5 +59,5 @@ def resize_aggregate(state: DataFrame, old: Ladder, new: Ladder, now: int, metho
         value = F.sum("value") / F.count("*") if method == "avg_zero" else method_column(method, 1)
         summed = rows.groupBy("series_id", start.alias("ts")).agg(value.alias("value"), F.count("value").alias("known"), F.count("*").alias("slots"))
         raw = summed.where((F.col("known") > 0) & (F.col("known") / F.col("slots") >= F.lit(float(xff)))).select("series_id", "ts", "value", F.lit(0).cast("long").alias("arrival"))
-        out = settle(cascade(out, direct_writes(raw, new, now, "accept"), new, method, xff))
+        out = settle(cascade(out, settle(direct_writes(raw, new, now, "accept")), new, method, xff))
     return out

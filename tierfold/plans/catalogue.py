@@ -12,6 +12,7 @@ from tierfold.functions.columns import ring_slot, tsv_line
 from tierfold.functions.config import METHODS, Ladder
 from tierfold.operators import align, compare, read, regrid, replay, rollup, rules
 from tierfold.sources import tables, text
+from tierfold.sources.shared import settle
 from tierfold.streaming import ingest
 
 NOW, OLD_NOW = 1706659200, 1004918400
@@ -324,7 +325,7 @@ _add(
 
 def _filled(mode: str) -> Query:
     def query(s, d):
-        state = _state(s, d)
+        state = settle(_state(s, d))  # as a store would hold it
         return compare.fill(state, _holes(state), S, S, NOW, "average", 0.5, mode=mode).select("series_id", "level", "interval", _round().alias("value"))
 
     return query
