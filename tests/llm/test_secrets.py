@@ -1,5 +1,7 @@
 import hashlib
 import re
+import time
+from itertools import product
 
 import public_tokenizers as P
 
@@ -54,3 +56,16 @@ def test_odd_rows(spark):
     assert secrets.scan(odd_documents(spark), VOCAB, P.PATTERN).count() == 10
     assert secrets.scan(empty_documents(spark), VOCAB, P.PATTERN).count() == 0
     assert secrets.redact(odd_documents(spark), VOCAB, P.PATTERN).count() == 10
+
+
+def test_words_in_linear_time():
+    nested = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8})+")
+    for n in range(1, 9):
+        for t in map("".join, product("Aa1", repeat=n)):
+            assert bool(secrets.WORDS.fullmatch(t)) == bool(nested.fullmatch(t))
+    start = time.perf_counter()
+    for run in ("A" * 36 + "1x", "acgt" * 9 + "1x", "a" * 35 + "1x"):  # seconds each with nested repeats
+        assert not secrets.WORDS.fullmatch(run)
+    assert time.perf_counter() - start < 0.5
+    start = time.perf_counter()
+    assert not secrets.WORDS.fullmatch("A" * 100_000 + "1x") and time.perf_counter() - start < 2

@@ -33,7 +33,8 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"(?:(?:md5|sha1|sha256|sha384|sha512)[-=])?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 INTEGRITY = re.compile(r"(?:sha256|sha384|sha512)-[A-Za-z0-9+/]+={0,2}")
-WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8})+")
+# Pieces are possessive, as a long run of one class would otherwise be cut in exponentially many ways before it fails.
+WORDS = re.compile(r"(?:[0-9]++|[A-Z]{2,}+|[A-Z](?=[a-z]{2})|[a-z]{2,}+)++")
 DEFAULT_RATIO = 2.0
 
 Span = tuple[int, int, str, int, int]
