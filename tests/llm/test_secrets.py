@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 import time
 from itertools import product
 
@@ -69,3 +71,15 @@ def test_words_in_linear_time():
     assert time.perf_counter() - start < 0.5
     start = time.perf_counter()
     assert not secrets.WORDS.fullmatch("A" * 100_000 + "1x") and time.perf_counter() - start < 2
+
+
+def test_random_keys_of_any_letters_are_found():
+    find = secrets.finder(VOCAB, P.PATTERN, secrets.DEFAULT_RATIO)
+    rng = random.Random(4)
+    lower, upper = string.ascii_lowercase, string.ascii_uppercase
+    for letters, size, least in ((lower + string.digits, 20, 0.98), (lower + string.digits, 32, 0.98), (upper + "234567", 20, 0.98), (upper + "234567", 40, 0.98), (lower + upper, 24, 0.98), (lower, 32, 0.97), (upper, 32, 0.98), (lower + upper + string.digits, 16, 0.98)):
+        keys = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(300)]
+        assert sum(any(s[0] <= 4 and s[1] >= 4 + size for s in find(f"key {k} end")[1]) for k in keys) >= least * len(keys)
+    assert find("key abcd/kqzvxwjqpzkvbnxqwjzv end")[1]  # a random part beside a short one
+    for clean in ("com.fasterxml.jackson.databind", "getElementsByTagNameNS", "2024-01-02T03-04-05Z", "x86_64-unknown-linux-gnu", "internationalization", "==================", "0123456789/0123456789"):
+        assert find(clean)[1] == []

@@ -2,9 +2,10 @@
 
 Base kinds are ``assign`` (a credential name, ``:`` or ``=``, and a value of 12 or more characters), ``access``
 (``AKIA`` keys of 18 or more) and ``hex`` (16 or more lower-case hex digits). The method adds ``token`` spans: a maximal
-run of credential characters whose number of characters per token under a tiktoken vocabulary is low, as a merge
-vocabulary learnt on text has no long pieces for random strings. Known digests, UUIDs and identifiers built of words and
-short numbers are left out, as are runs that overlap a base span.
+run of 16 or more credential characters, a letter among them, whose number of characters per token under a tiktoken
+vocabulary is low, as a merge vocabulary learnt on text has no long pieces for random strings. Known digests, UUIDs, times
+and identifiers built of short numbers and words that the vocabulary knows are left out, as are runs that overlap a base
+span.
 
 Null text: empty, no spans. Empty text: no spans. Very long texts: whole, in linear time. Repeated rows: each gives
 its own row. Empty table: no rows. Further columns of the input are ignored by ``scan`` and kept by ``redact``.
@@ -28,14 +29,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 # A maximal run shorter than the least length holds no longer match, so the least length may stand in the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"(?:(?:md5|sha1|sha256|sha384|sha512)[-=])?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 INTEGRITY = re.compile(r"(?:sha256|sha384|sha512)-[A-Za-z0-9+/]+={0,2}")
 # Pieces are possessive, as a long run of one class would otherwise be cut in exponentially many ways before it fails.
 WORDS = re.compile(r"(?:[0-9]++|[A-Z]{2,}+|[A-Z](?=[a-z]{2})|[a-z]{2,}+)++")
+TIME = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9]{2}[-.]?[0-9]{2}(?:[-.]?[0-9]{2}(?:\.[0-9]+)?)?Z?")
 DEFAULT_RATIO = 2.0
+#: Runs and parts shorter than this need a ratio lower by this factor, as few tokens tell less.
+SHORT, SHORTER = 20, 0.9
 
 Span = tuple[int, int, str, int, int]
 
@@ -51,22 +55,33 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def is_identifier(run: str) -> bool:
-    """A digest, UUID, or words and short numbers joined by the usual marks."""
-    if UUID.fullmatch(run) or DIGEST.fullmatch(run) or INTEGRITY.fullmatch(run):
+def limit(n: int, ratio: float) -> float:
+    """The most characters a token at which a string of ``n`` characters counts as random."""
+    return ratio if n >= SHORT else SHORTER * ratio
+
+
+def is_identifier(run: str, n_tokens: Callable[[str], int], ratio: float) -> bool:
+    """A digest, UUID, time, or words and short numbers joined by the usual marks, where the vocabulary knows the words."""
+    if UUID.fullmatch(run) or DIGEST.fullmatch(run) or INTEGRITY.fullmatch(run) or TIME.fullmatch(run):
         return True
-    return all(WORDS.fullmatch(p) for p in re.split(r"[_./=+-]+", run) if len(p) > 2)
+    parts = [p for p in re.split(r"[_./=+-]+", run) if len(p) > 2]
+    if not all(WORDS.fullmatch(p) for p in parts):
+        return False
+    sizes = [(len(p), n_tokens(p)) for p in parts if not p.isdigit()]
+    # Together, as a short word may have two tokens; and a long part by itself, as it may be random beside words.
+    if any(n >= 16 and n / k <= limit(n, ratio) for n, k in sizes):
+        return False
+    chars = sum(n for n, _ in sizes)
+    return not chars or chars / sum(k for _, k in sizes) > limit(chars, ratio)
 
 
 def token_spans(text: str, n_tokens: Callable[[str], int], ratio: float, base: list[Span]) -> list[Span]:
     out: list[Span] = []
     for m in RUN.finditer(text):
         run, s, e = m.group(), m.start(), m.end()
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if any(b[0] < e and s < b[1] for b in base) or is_identifier(run):
+        if not any(c.isalpha() for c in run) or any(b[0] < e and s < b[1] for b in base):
             continue
-        if (e - s) / n_tokens(run) <= ratio:
+        if (e - s) / n_tokens(run) <= limit(e - s, ratio) and not is_identifier(run, n_tokens, ratio):
             out.append((s, e, "token", s, e))
     return out
 
