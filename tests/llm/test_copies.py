@@ -90,3 +90,43 @@ def test_odd_rows(spark):
     assert copies.groups(empty_documents(spark)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "a b c")], "doc_id long, text string")
     assert copies.keep_one(nulls).count() == 3
+
+
+def far_copies(seed, n_base=12):
+    """Copies cut short, run on and changed in one block, at similarities about 0.8, besides scattered edits."""
+    rng = random.Random(seed)
+    new = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
+    texts, ids = {}, rng.sample(range(10_000), n_base * 9)
+    for _ in range(n_base):
+        w = new(rng.randrange(80, 260))
+        n = len(w)
+        texts[ids.pop()] = " ".join(w)
+        for share in (0.17, 0.19):
+            k, at = int(share * n), rng.randrange(n // 2)
+            texts[ids.pop()] = " ".join(w[: n - k])
+            texts[ids.pop()] = " ".join(w + new(int(n * share)))
+            texts[ids.pop()] = " ".join(w[:at] + new(k // 2) + w[at + k // 2 :])
+            texts[ids.pop()] = " ".join(w[k:])
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [256, 2])
+def test_copies_beyond_the_radius(spark, monkeypatch, crowd):
+    monkeypatch.setattr(copies, "CROWD", crowd)
+    monkeypatch.setattr(copies, "TOKENS", 200)
+    texts = far_copies(1)
+    assert run(spark, texts) == brute_groups(texts)
+
+
+def test_first_pairs_miss_none():
+    rng = random.Random(8)
+    base = [np.array(sorted(rng.sample(range(10**6), rng.randrange(1, 60))), np.uint64) for _ in range(20)]
+    sets = base + [np.unique(np.concatenate([rng.choice(base)[rng.randrange(3) :], np.array(rng.sample(range(10**6), rng.randrange(4)), np.uint64)])) for _ in range(300)]
+    sets = [x for x in sets if len(x)]
+    common = (base[0], np.full(len(base[0]), 3))
+    first = [copies.first_shingles(x, common, 0.8) for x in sets]
+    who = np.repeat(np.arange(len(sets)), [len(x) for x, _ in first])
+    u, v, shared, needed = copies.first_pairs(np.concatenate([x for x, _ in first]), who, who, np.array([n for _, n in first])[who], 0.8)
+    found = {(int(b), int(a)) for a, b, s, k in zip(u, v, shared, needed) if s >= k}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (k := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - k)}
+    assert want and want <= found

@@ -5,7 +5,13 @@ which moves less under scattered edits than one of long shingles: at a similarit
 word in forty differs and about four bits of 64. Pairs within ``RADIUS`` bits are found by unequal thresholds on groups
 of correlated bits (see ``simhash``); values and probes travel packed, and a bucket sends a spanning forest of its
 verified pairs, not the pairs. The components are blocks: within each, texts are linked if the Jaccard similarity of
-their sets of five-word shingles is 0.8 or more, and groups are the components of these links.
+their sets of five-word shingles is 0.8 or more.
+
+Copies cut short, run on or changed in one place differ in many words and lie further apart. They are found by a prefix
+filter, which misses no pair: two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of each, in
+any order that is the same for all. Shingles common in a sample come last in it. Of the pairs that meet so and aren't
+linked already, those stay which share as many of these shingles as their sizes ask for; their sets are compared. Groups
+are the components of all links.
 
 In a block it isn't needed to compare all pairs: the most central text is compared with all, then those outside the
 largest component, until each text outside it has been compared with all. A block of over ``BLOCK`` texts is dealt to
@@ -33,6 +39,10 @@ RADIUS = 8
 MANY = 50_000_000
 #: A partition value held by more fingerprints than this puts them in one block unverified; the shingles decide.
 HOT = 16384
+#: Texts of the sample in which common shingles are looked for, the least number of them that has one, and the most that are kept.
+SAMPLE, COMMON, ORDERED = 8192, 3, 200_000
+#: First shingles that a task gets, about; one that more texts have puts them in one block unverified.
+TOKENS, CROWD = 1 << 18, 256
 #: Fingerprints of one group of partition values, and texts of one block, that a task gets, about.
 GROUP, BLOCK, HUBS = 16384, 2048, 16
 
@@ -48,15 +58,45 @@ def word_print(text: bytes) -> tuple[int, int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), simhash.majority(hashes)
 
 
-def prints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def first_size(n: np.ndarray | int, least: float) -> np.ndarray:
+    """The number of first shingles of a set of ``n`` of which any similar set shares one."""
+    return np.where(np.asarray(n) > 0, n - np.ceil(least * np.asarray(n) - 1e-9) + 1, 0).astype(np.int64)
+
+
+def common_shingles(df: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, in order of value, and how many. They only settle an order, so any sample gives the same groups."""
+    n = df.count()
+    texts = text_rows(df, id_col, text_col, binary=True)
+    if n > SAMPLE:
+        texts = texts.sample(SAMPLE / n, seed=simhash.SEED)
+    each = map_rows(texts, "shingles array<long>", lambda: lambda r: {"shingles": [np.unique(simhash.shingle_hashes(t, SHINGLE)).view(np.int64).tolist() for t in r["text"]]})
+    found = each.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(ORDERED).collect()
+    value, often = np.array([r.s for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(value)
+    return value[order], often[order]
+
+
+def first_shingles(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, int]:
+    """The first shingles of a text, and the number of all."""
+    mine = np.unique(hashes)
+    value, often = common
+    rank = np.zeros(len(mine), np.int64)
+    if len(value):
+        at = np.minimum(np.searchsorted(value, mine), len(value) - 1)
+        rank = np.where(value[at] == mine, often[at], 0)
+    return mine[np.argsort(rank, kind="stable")[: int(first_size(len(mine), least))]], len(mine)
+
+
+def prints(df: DataFrame, id_col: str, text_col: str, common: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
     def make():
         def f(rows):
             found = [word_print(t) for t in rows["text"]]
-            return {"doc_id": rows["doc_id"], "k1": [x[0] for x in found], "k2": [x[1] for x in found], "fp": [x[2] for x in found]}
+            first = [first_shingles(simhash.shingle_hashes(t, SHINGLE), common, least) for t in rows["text"]]
+            return {"doc_id": rows["doc_id"], "k1": [x[0] for x in found], "k2": [x[1] for x in found], "fp": [x[2] for x in found], "size": [n for _, n in first], "first": [x.astype("<u8").tobytes() for x, _ in first]}
 
         return f
 
-    return map_rows(text_rows(df, id_col, text_col, binary=True), "doc_id long, k1 long, k2 long, fp long", make)
+    return map_rows(text_rows(df, id_col, text_col, binary=True), "doc_id long, k1 long, k2 long, fp long, size int, first binary", make)
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,11 +307,104 @@ def similar(members: DataFrame, least: float = LEAST) -> DataFrame:
     return found.select("u", "v").union(more).where("u <> v")
 
 
+def first_pairs(value: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """(u, v, shared, needed) of the pairs of different labels that meet in a value; needed is 0 for those of a crowd, which are spanning stars."""
+    order = np.argsort(value, kind="stable")
+    value, node, label, size = value[order], node[order], label[order], size[order].astype(np.int64)
+    out: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+    if not len(value):
+        return tuple(out[0].T)
+    starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    ends = np.append(starts[1:], len(value))
+    mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+    for s, e in zip(starts[mixed & (ends - starts > CROWD)], ends[mixed & (ends - starts > CROWD)], strict=True):
+        u, v = node[s + 1 : e], np.full(e - s - 1, node[s])
+        out.append(np.stack([u, v, np.ones_like(u), np.zeros_like(u)], axis=1))
+    small = mixed & (ends - starts <= CROWD)
+    rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, e) for s, e in zip(starts[small], ends[small], strict=True))])
+    n = np.repeat(ends[small], (ends - starts)[small]) - rows - 1
+    rest = size - first_size(size, least)
+    total, at = np.cumsum(n), 0
+    held: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 16), "right")))
+        a = np.repeat(rows[at:stop], n[at:stop])
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n[at:stop]) - n[at:stop], n[at:stop])
+        on = (label[a] != label[b]) & (np.minimum(size[a], size[b]) + 1e-9 >= least * np.maximum(size[a], size[b]))
+        a, b = a[on], b[on]
+        # Beyond the first shingles of one of the two, no more than its further ones can be shared.
+        need = np.maximum(1, np.ceil(least / (1 + least) * (size[a] + size[b]) - np.maximum(rest[a], rest[b]) - 1e-6)).astype(np.int64)
+        held.append(np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), np.ones_like(need), need], axis=1))
+        if sum(map(len, held)) > 1 << 18 or stop >= len(rows):
+            x = np.concatenate(held)
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            new = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(axis=1)])) if len(x) else np.zeros(0, np.int64)
+            shared = np.add.reduceat(x[:, 2], new) if len(x) else x[:, 2]
+            x = x[new]
+            x[:, 2] = shared
+            out.append(x)  # counts of a pair may come in parts; they are summed later
+            held = []
+        at = stop
+    return tuple(np.concatenate(out).T)
+
+
+def further(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(u, v) links of (node, label, size, first) rows that join the components of all similar pairs of different labels."""
+    tokens = nodes.agg(F.sum(F.length("first"))).first()[0] or 0
+    n_sets = max(1, tokens // 8 // TOKENS)
+    ddl = "set long, value binary, at binary, node binary, label binary, size binary"
+    arrow = to_arrow_schema(schema_of(ddl))
+
+    def send(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 8192):
+                b = whole.slice(start, 8192)
+                node, label, size = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+                first = [np.frombuffer(x, "<u8") for x in b.column(3).to_pylist()]
+                value, who = np.concatenate(first), np.repeat(np.arange(len(first)), [len(x) for x in first])
+                group = (value % np.uint64(n_sets)).astype(np.int64)
+                order = np.argsort(group, kind="stable")
+                value, who, group = value[order], who[order], group[order]
+                edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else [0]
+                rows = []
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    mine, at = np.unique(who[s:e], return_inverse=True)
+                    rows.append({"set": int(group[s]), "value": value[s:e].astype("<u8").tobytes(), "at": at.astype("<u2").tobytes(), "node": node[mine].astype("<i8").tobytes(), "label": label[mine].astype("<i8").tobytes(), "size": size[mine].astype("<i4").tobytes()})
+                yield from pa.Table.from_pylist(rows, arrow).to_batches()
+
+    pair_ddl = "u long, v long, shared long, needed long"
+    pair_arrow = to_arrow_schema(schema_of(pair_ddl))
+
+    def meet(t: pa.Table) -> pa.Table:
+        cols = [[np.frombuffer(x, kind) for x in t[c].to_pylist()] for c, kind in (("value", "<u8"), ("at", "<u2"), ("node", "<i8"), ("label", "<i8"), ("size", "<i4"))]
+        at = np.concatenate([x.astype(np.int64) + o for x, o in zip(cols[1], np.cumsum([0, *map(len, cols[2])]), strict=False)])
+        value, node, label, size = (np.concatenate(cols[k]) for k in (0, 2, 3, 4))
+        return pa.Table.from_arrays([pa.array(x) for x in first_pairs(value, node[at], label[at], size[at], least)], schema=pair_arrow)
+
+    met = cut(nodes.select("node", "label", "size", "first").mapInArrow(send, ddl).groupBy("set").applyInArrow(meet, pair_ddl))
+    pairs = cut(met.where("needed > 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).where("shared >= needed").select("u", "v"))
+    crowds = cut(components(met.where("needed = 0").select("u", "v")).withColumnRenamed("component", "block"))
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(crowds.select("node")).distinct()
+    sets = cut(map_rows(texts.join(asked, texts["doc_id"] == asked["node"]).select("node", "text"), "node long, shingles binary", lambda: lambda r: {"node": r["node"], "shingles": [shingle_set(t).tobytes() for t in r["text"]]}).dropDuplicates(["node"]))
+
+    def alike(rows):
+        on = []
+        for x, y in zip(rows["x"], rows["y"], strict=True):
+            a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            on.append(common + 1e-9 >= least * (len(a) + len(b) - common))
+        return {"u": rows["u"], "v": rows["v"], "alike": on}
+
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
+    links = map_rows(both, "u long, v long, alike boolean", lambda: alike).where("alike").select("u", "v")
+    return links.union(similar(sets.join(crowds, "node").select("node", "block", "shingles"), least))
+
+
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """(doc_id, group) of every row: the smallest doc_id of the near copies."""
-    found = cut(prints(df, id_col, text_col))
+    found = cut(prints(df, id_col, text_col, common_shingles(df, id_col, text_col), least))
     known = found.where("doc_id is not null")
-    nodes = cut(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")))
+    nodes = cut(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("first").alias("first")))
     heads = nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n"))
     near = blocks(heads.select(F.col("head").alias("node"), "fp"), radius).select(F.col("node").alias("head"), "block")
     put = heads.join(near, "head", "left").where("n > 1 or block is not null").select("fp", F.coalesce("block", "head").alias("block"))
@@ -279,7 +412,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     texts = text_rows(df, id_col, text_col, binary=True)
     sets = map_rows(texts.join(member, texts["doc_id"] == member["node"]).select("node", "block", "text"), "node long, block long, shingles binary", lambda: lambda r: {"node": r["node"], "block": r["block"], "shingles": [shingle_set(t).tobytes() for t in r["text"]]})
     sets = cut(sets).dropDuplicates(["node"])
-    labels = components(similar(sets, least))
+    labels = cut(components(similar(sets, least)))
+    labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "size", "first")
+    labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(further(labelled, texts, least)))
     named = nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("group"))
     return found.join(named, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"))
 
