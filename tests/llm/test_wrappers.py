@@ -108,3 +108,17 @@ def test_merging_keeps_all_paths():
 def test_blocks_know_their_place():
     found = blocks("<main><h1>T</h1><table><tr><td>1<td>2<tr><td>3</table></main><p>after")
     assert [(b.text, b.inside) for b in found] == [("T", True), ("1", True), ("2", True), ("3", True), ("after", False)]
+
+
+def test_class_words_do_not_hide_the_content():
+    text = lambda html: [b.text for b in blocks(html) if not b.skipped]
+    article = "<article><h1>Title</h1><p>The main text of the page.</p></article>"
+    for around in ("<div class='content has-sidebar'>{}</div>", "<div class='page no-comments'>{}</div>", "<div class='elementor-widget'>{}</div>", "<form action=/>{}</form>", "<div class=widget><form>{}</form></div>"):
+        assert text(around.format(article)) == ["Title", "The main text of the page."]
+        assert text(around.format("<p>The main text of a page without article.</p>")) == ["The main text of a page without article."]
+    assert text(f"<div class=has-sidebar>{article}<div class=sidebar><p>Popular</p></div></div>") == ["Title", "The main text of the page."]
+    # What a whole class name calls comments stays out, however long, and articles in it.
+    comments = "<section id=comments>" + "<article class=comment><p>A reader says something at length here.</p></article>" * 9 + "</section>"
+    assert text(article + comments) == text(f"<div class=has-comments>{article}{comments}</div>") == ["Title", "The main text of the page."]
+    assert text(f"{article}<form><p>Your name</p></form><div class=ad>Buy</div>") == ["Title", "The main text of the page."]
+    assert text("<article><h1>T</h1><div class='entry no-comments'><p>The main text of the page.</p></div></article>") == ["T", "The main text of the page."]

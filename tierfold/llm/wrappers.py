@@ -33,7 +33,7 @@ from tierfold.llm.common import cut, map_rows, schema_of
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math".split())
-SKIPPED = frozenset("head nav footer aside form button select menu dialog object audio video canvas figure".split())
+SKIPPED = frozenset("head nav footer aside button select menu dialog object audio video canvas figure".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -67,6 +67,8 @@ class Block:
     links: int
     skipped: bool
     inside: bool
+    #: Elements around it, by number, that only a class word or their being a form calls template; ``blocks`` settles these.
+    soft: tuple[int, ...] = ()
 
 
 @dataclass
@@ -76,12 +78,14 @@ class _Open:
     skipped: bool
     inside: bool
     link: bool
+    own: tuple[int, ...] = ()
+    soft: tuple[int, ...] = ()
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """A node's label (element and class words), and whether its role or class says template."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """A node's label (element and class words); whether it is hidden or its role says template; whether a class word does; whether a whole class name does."""
     words: set[str] = set()
-    said = False
+    said = whole = False
     if attributes and not attributes.isspace():
         for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
             value = a or b or c
@@ -92,8 +96,45 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
                 said |= value.lower() in ROLES
             elif name in ("class", "id"):
                 words.update(w.lower() for w in LABEL_WORDS.findall(value))
-    said |= bool(words & BOILERPLATE) and tag not in ("html", "body", "article", "main")
-    return (f"{tag}.{'.'.join(sorted(words))}" if words else tag), said
+                whole |= not BOILERPLATE.isdisjoint(value.lower().split())
+    hint = tag == "form" or bool(words & BOILERPLATE) and tag not in ("html", "body", "article", "main")
+    return (f"{tag}.{'.'.join(sorted(words))}" if words else tag), said, hint, whole
+
+
+def _settle(out: list[Block], whole: list[bool]) -> None:
+    """Blocks in soft elements are skipped, unless such an element must hold the content.
+
+    It must if no article or main stands outside of soft elements, but in it; if over half of the page's text, links
+    apart, is in it, and its class only has a telling word in a longer name; or if without it nothing would be left.
+    """
+    own = [(b, len(b.text) - b.links) for b in out if not b.skipped]
+    total = sum(n for _, n in own)
+    freed: set[int] = set()
+    size: dict[int, int] = {}
+    for b, n in own:
+        for k in b.soft:
+            size[k] = size.get(k, 0) + n
+    freed.update(k for k, n in size.items() if not whole[k] and 2 * n > total)
+    while True:
+        held: dict[int, int] = {}
+        if any(b.inside for b, _ in own):
+            # An article that nothing but the soft elements around it hides; one within another soft element, as a comment's, waits.
+            main = [(b, n) for b, n in own if b.inside]
+            if any(freed.issuperset(b.soft) for b, _ in main):
+                break
+        elif not own or any(freed.issuperset(b.soft) for b, _ in own):
+            break
+        else:
+            main = own
+        for b, n in main:
+            k = next(k for k in b.soft if k not in freed)
+            held[k] = held.get(k, 0) + n
+        best = max(held, key=lambda k: (held[k], -k))
+        if main is own and 2 * held[best] <= total:
+            break
+        freed.add(best)
+    for b, _ in own:
+        b.skipped = not freed.issuperset(b.soft)
 
 
 def blocks(html: str) -> list[Block]:
@@ -102,6 +143,7 @@ def blocks(html: str) -> list[Block]:
     stack = [_Open("", (), False, False, False)]
     text: list[str] = []
     links = 0
+    whole: list[bool] = []
     at, n = 0, len(html)
 
     def flush() -> None:
@@ -110,7 +152,7 @@ def blocks(html: str) -> list[Block]:
             t = " ".join(entities.unescape("".join(text)).split())
             if t:
                 top = stack[-1]
-                out.append(Block(top.path, t, min(links, len(t)), top.skipped, top.inside))
+                out.append(Block(top.path, t, min(links, len(t)), top.skipped, top.inside, top.soft))
             text.clear()
         links = 0
 
@@ -171,19 +213,26 @@ def blocks(html: str) -> list[Block]:
                         del stack[k:]
                         break
         top = stack[-1]
-        label, said = _label(tag, attributes)
+        label, said, hint, entire = _label(tag, attributes)
+        own: tuple[int, ...] = ()
+        if hint:
+            own = (len(whole),)
+            whole.append(entire)
+        soft = (*top.soft, *own)
         inside = top.inside or (tag in ("article", "main") and not said)
         # The header of an article may hold its title; other headers are the page's.
         skipped = top.skipped or said or tag in SKIPPED or (tag == "header" and not top.inside)
-        if tag in HEADINGS and top.inside and not said and top.tag == "header":
+        if tag in HEADINGS and top.inside and not said and not hint and top.tag == "header":
             skipped = any(x.skipped for x in stack if x.tag != "header")
+            soft = tuple(k for x in stack if x.tag != "header" for k in x.own)
         elif tag == "header" and top.inside:
             skipped = True
         path = (*top.path, label) if tag in BLOCKS else top.path
-        stack.append(_Open(tag, path, skipped, inside, top.link or tag == "a"))
+        stack.append(_Open(tag, path, skipped, inside, top.link or tag == "a", own, soft))
         if len(stack) > 2000:  # markup nested without end: inner elements stay on the last level
             stack.pop(-2)
     flush()
+    _settle(out, whole)
     return out
 
 
