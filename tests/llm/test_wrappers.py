@@ -122,3 +122,14 @@ def test_class_words_do_not_hide_the_content():
     assert text(article + comments) == text(f"<div class=has-comments>{article}{comments}</div>") == ["Title", "The main text of the page."]
     assert text(f"{article}<form><p>Your name</p></form><div class=ad>Buy</div>") == ["Title", "The main text of the page."]
     assert text("<article><h1>T</h1><div class='entry no-comments'><p>The main text of the page.</p></div></article>") == ["T", "The main text of the page."]
+
+
+def test_template_of_small_hosts(spark):
+    rows, want = [], {}
+    for host, n in (("three.example", 3), ("five.example", 5), ("nineteen.example", 19)):
+        for i in range(n):
+            key = len(rows)
+            own = [f"what page {i} of {host} alone tells, line {k} of it" for k in range(4)]
+            rows.append((key, f"http://{host}/{i}", "<div class=q7><p>All rights reserved by the house</p></div><div class=k2>" + "".join(f"<p>{p}</p>" for p in own) + "</div><div class=q8>Imprint and terms</div>"))
+            want[key] = "\n".join(own)
+    assert extracted(spark, rows) == want

@@ -53,8 +53,8 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 LABEL_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: A text in a slot is template if at least this share of at least so many distinct pages of the host have it.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 20
+#: A text in a slot is template if at least this share of the host's distinct pages have it, and so many at least: two may be alike by chance.
+CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 3
 LINK_SHARE = 0.6
 
 
