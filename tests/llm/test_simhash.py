@@ -113,3 +113,17 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(empty_documents(spark)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "other words here now")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(nulls).collect()) == [(-1, -1), (-1, 4), (4, 4)]
+
+
+def test_one_holder_and_one_who_asks_meet(spark, monkeypatch):
+    """Two fingerprints with one differing bit in each of two partitions, thresholds (2, -1, -1) and (-1, 2, -1)."""
+    a, b, rows = 0, (1 << 3) | (1 << 30), []
+    for node, fp, asking in ((1, a, 0), (2, b, 1)):
+        for part in range(3):
+            value = fp >> 22 * part & (1 << 22) - 1
+            flips = [0, *(1 << k for k in range(22))] if part == asking else [0]
+            rows += [(part, value ^ f, fp, node, f == 0, part == asking) for f in flips]
+    keyed = spark.createDataFrame(rows, "part int, value long, fp long, node long, held boolean, asks boolean")
+    monkeypatch.setattr(simhash, "keyed", lambda *_: keyed)
+    got = simhash.links(spark.createDataFrame([(1, a), (2, b)], "node long, fp long")).collect()
+    assert {frozenset((r.u, r.v)) for r in got} == {frozenset((1, 2))}

@@ -235,7 +235,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     if n < 2:
         return nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     rows = cut(keyed(nodes, radius, 3 if n < MANY else 2, n))
-    sizes = rows.groupBy("part", "value").agg(F.count_if("held").alias("n_held"), F.count_if("asks").alias("n_asks")).where("n_held > 0 and n_asks > 0 and n_held + n_asks > 2")
+    sizes = rows.groupBy("part", "value").agg(F.count_if("held").alias("n_held"), F.count_if("asks").alias("n_asks"), (F.min("fp") != F.max("fp")).alias("several")).where("n_held > 0 and n_asks > 0 and several").drop("several")
     sized = rows.join(sizes, ["part", "value"])
     cold = sized.where(F.col("n_held") + F.col("n_asks") <= 2 * BUCKET)
     a, b = cold.where("held").alias("a"), cold.where("asks").alias("b")
