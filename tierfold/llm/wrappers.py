@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host are parsed to trees of block elements. Trees are made small by folding siblings of one label, so that a
-host has few distinct ones; these are aligned by simple tree matching into the host's wrapper, whose nodes are slots.
+host has few distinct ones. A slot is a path of labels: as siblings of one label are one node, the simple tree matching
+that merges the host's trees into its wrapper only collects their paths, and doesn't tell such siblings apart.
 Over all pages of the host it is then counted how often each text stands in each slot, and how much of a slot's text is
 link text. Constant nodes become template; so do slots of navigation, adverts, forms and the like, by element, role and
 class, and slots that are mostly links. What varies in the remaining slots is content. Where a host marks an article or
