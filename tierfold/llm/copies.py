@@ -307,7 +307,7 @@ def similar(members: DataFrame, least: float = LEAST) -> DataFrame:
     return found.select("u", "v").union(more).where("u <> v")
 
 
-def first_pairs(value: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+def first_pairs(value: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, least: float, crowd: int = CROWD) -> tuple[np.ndarray, ...]:
     """(u, v, shared, needed) of the pairs of different labels that meet in a value; needed is 0 for those of a crowd, which are spanning stars."""
     order = np.argsort(value, kind="stable")
     value, node, label, size = value[order], node[order], label[order], size[order].astype(np.int64)
@@ -317,10 +317,10 @@ def first_pairs(value: np.ndarray, node: np.ndarray, label: np.ndarray, size: np
     starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     ends = np.append(starts[1:], len(value))
     mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-    for s, e in zip(starts[mixed & (ends - starts > CROWD)], ends[mixed & (ends - starts > CROWD)], strict=True):
+    for s, e in zip(starts[mixed & (ends - starts > crowd)], ends[mixed & (ends - starts > crowd)], strict=True):
         u, v = node[s + 1 : e], np.full(e - s - 1, node[s])
         out.append(np.stack([u, v, np.ones_like(u), np.zeros_like(u)], axis=1))
-    small = mixed & (ends - starts <= CROWD)
+    small = mixed & (ends - starts <= crowd)
     rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, e) for s, e in zip(starts[small], ends[small], strict=True))])
     n = np.repeat(ends[small], (ends - starts)[small]) - rows - 1
     rest = size - first_size(size, least)
@@ -351,7 +351,7 @@ def first_pairs(value: np.ndarray, node: np.ndarray, label: np.ndarray, size: np
 def further(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(u, v) links of (node, label, size, first) rows that join the components of all similar pairs of different labels."""
     tokens = nodes.agg(F.sum(F.length("first"))).first()[0] or 0
-    n_sets = max(1, tokens // 8 // TOKENS)
+    n_sets, crowd = max(1, tokens // 8 // TOKENS), CROWD
     ddl = "set long, value binary, at binary, node binary, label binary, size binary"
     arrow = to_arrow_schema(schema_of(ddl))
 
@@ -379,7 +379,7 @@ def further(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         cols = [[np.frombuffer(x, kind) for x in t[c].to_pylist()] for c, kind in (("value", "<u8"), ("at", "<u2"), ("node", "<i8"), ("label", "<i8"), ("size", "<i4"))]
         at = np.concatenate([x.astype(np.int64) + o for x, o in zip(cols[1], np.cumsum([0, *map(len, cols[2])]), strict=False)])
         value, node, label, size = (np.concatenate(cols[k]) for k in (0, 2, 3, 4))
-        return pa.Table.from_arrays([pa.array(x) for x in first_pairs(value, node[at], label[at], size[at], least)], schema=pair_arrow)
+        return pa.Table.from_arrays([pa.array(x) for x in first_pairs(value, node[at], label[at], size[at], least, crowd)], schema=pair_arrow)
 
     met = cut(nodes.select("node", "label", "size", "first").mapInArrow(send, ddl).groupBy("set").applyInArrow(meet, pair_ddl))
     pairs = cut(met.where("needed > 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).where("shared >= needed").select("u", "v"))
