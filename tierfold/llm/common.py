@@ -8,12 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from tierfold.sources.shared import settle as cut
 from tierfold.sources.shared import shared_folder as shared_dir
 
-__all__ = ["cut", "map_rows", "schema_of", "shared_dir", "table", "text_rows"]
+__all__ = ["cut", "map_rows", "quoted", "schema_of", "shared_dir", "table", "text_rows"]
 
 #: Rows that a Python function sees at once; with the 64 MB that Spark puts in an Arrow batch at most.
 STEP = 1024
@@ -29,19 +29,28 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bin
     return df.select(df[id_col].cast("long").alias("doc_id"), (text.cast("binary") if binary else text).alias("text"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``col`` takes it whole."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
-def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
-    """mapInArrow over columns as lists: ``make`` is called once a task and gives the function of a batch."""
-    arrow = to_arrow_schema(schema_of(ddl))
+def map_rows(df: DataFrame, ddl: str | StructType, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
+    """mapInArrow over columns as lists: ``make`` is called once a task and gives the function of a batch. Names may hold any characters."""
+    schema = schema_of(ddl) if isinstance(ddl, str) else ddl
+    names = df.columns
+    plain = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)])
+    arrow = to_arrow_schema(plain)
+    fields = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for whole in batches:
             for at in range(0, whole.num_rows, STEP):
-                out = f(whole.slice(at, STEP).to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+                out = f({name: c.to_pylist() for name, c in zip(names, whole.slice(at, STEP).columns, strict=True)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[name], x.type) for name, x in zip(fields, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, ddl)
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, plain).toDF(*fields)
