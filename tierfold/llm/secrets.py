@@ -20,8 +20,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tierfold.llm.common import map_rows, text_rows
+from tierfold.llm.common import map_rows, quoted, text_rows
 
 KINDS = ("assign", "access", "hex", "token")
 
@@ -29,6 +30,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 # A maximal run shorter than the least length holds no longer match, so the least length may stand in the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+LETTER = re.compile(r"[A-Za-z]")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
@@ -76,10 +78,15 @@ def is_identifier(run: str, n_tokens: Callable[[str], int], ratio: float) -> boo
 
 
 def token_spans(text: str, n_tokens: Callable[[str], int], ratio: float, base: list[Span]) -> list[Span]:
+    """Runs that look random and overlap no span of ``base``, which is in order of start; both are walked once."""
     out: list[Span] = []
+    k, taken = 0, 0  # the base spans that begin before the run's end, and where the last of them ends
     for m in RUN.finditer(text):
         run, s, e = m.group(), m.start(), m.end()
-        if not any(c.isalpha() for c in run) or any(b[0] < e and s < b[1] for b in base):
+        while k < len(base) and base[k][0] < e:
+            taken = max(taken, base[k][1])
+            k += 1
+        if taken > s or not LETTER.search(run):
             continue
         if (e - s) / n_tokens(run) <= limit(e - s, ratio) and not is_identifier(run, n_tokens, ratio):
             out.append((s, e, "token", s, e))
@@ -144,6 +151,7 @@ def redact_text(text: str, spans: list[Span], mark: str) -> str:
 def redact(df: DataFrame, vocabulary: str, pattern: str, ratio: float = DEFAULT_RATIO, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """The rows of ``df`` with every secret's value replaced by ``mark``; other columns and clean texts stay as they are; a null text stays null."""
     columns = [f.name for f in df.schema.fields]
+    schema = StructType([StructField(f.name, f.dataType) for f in df.schema.fields])
 
     def make():
         find = finder(vocabulary, pattern, ratio)
@@ -154,5 +162,4 @@ def redact(df: DataFrame, vocabulary: str, pattern: str, ratio: float = DEFAULT_
 
         return f
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_rows(df.select([F.col(f"`{c}`") for c in columns]), ddl, make)
+    return map_rows(df.select([F.col(quoted(c)) for c in columns]), schema, make)
