@@ -88,3 +88,33 @@ def test_kinds(kind):
     for predictor, tiled in ((1, False), (2, True), (2, False)):
         (page,) = tiff.read_pages(tiff.write_pages([(image, kind, predictor, tiled)]))
         assert (page.data[:, :, 0] == image).all()
+
+
+def test_broken_files_are_error_rows(spark):
+    """Sizes, counts and offsets that a file can't bear, and bytes changed at random, give an error row or a page, and take no memory."""
+    media = tiff.store(np.random.default_rng(7).integers(0, 9, 64 * 600, np.uint8).tobytes())
+    (at,) = struct.unpack_from("<I", media, 4)
+    (n,) = struct.unpack_from("<H", media, at)
+    cases = []
+    for k in range(n):
+        for count, value in ((1, 0), (1, 2**31), (2**32 - 1, 8), (0, 0)):
+            x = bytearray(media)
+            struct.pack_into("<II", x, at + 2 + 12 * k + 4, count, value)
+            cases.append(bytes(x))
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        x = bytearray(media)
+        for place in rng.integers(0, len(media), 4).tolist() + (at + rng.integers(0, 12 * n, 2)).tolist():
+            x[place] = int(rng.integers(0, 256))
+        cases.append(bytes(x))
+    rows = tiff.pages(spark.createDataFrame(list(enumerate(cases)), "id long, media binary"), "id", "media").collect()
+    assert {r.id for r in rows} == set(range(len(cases)))
+    assert all((r.page == -1) == (r.error is not None) for r in rows) and any(r.error for r in rows)
+
+
+def test_a_bomb_is_read_no_further_than_its_page():
+    raw = zlib.compress(b"\0" * (1 << 26))
+    assert len(tiff.decompress(raw, 8, 4096)) == 4096
+    assert len(tiff.packbits_decode(b"\x81\0" * 100_000, 4096)) < 4096 + 128
+    with pytest.raises(ValueError):
+        tiff.lzw_decode(bytes.fromhex("80 3f ff ff"))

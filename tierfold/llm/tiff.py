@@ -4,7 +4,8 @@
 tiles, undoes the horizontal (2) and floating-point (3) predictors, and gives each page's samples. ``write_pages`` makes
 files with the same means, so that bytes can be stored as 8-bit grey samples and read back unchanged.
 
-Null or empty media: no page. A broken file: one row with page -1 and the error's text. A null text as payload: empty,
+Null or empty media: no page. A broken file: the pages before the fault, and a row with page -1 and the error's text; a
+count, size or offset that the file's bytes can't bear is a fault, found before memory is taken for it. A null text as payload: empty,
 padded to 64 zero bytes. Very long payloads: many pages. Equal payloads: equal files. Empty table: no rows. Further
 columns are ignored.
 """
@@ -30,6 +31,8 @@ TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i"
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 322, 323, 324, 325, 339
 CLEAR, END, FIRST = 256, 257, 258
+#: No compression here gives more bytes for one.
+MOST_RATIO = 4096
 
 #: Rows of one page of a stored payload, and of its strips; tiles are square.
 PAGE_ROWS, STRIP_ROWS, ROW = 512, 128, 64
@@ -40,7 +43,9 @@ _AT = np.concatenate([[0], np.cumsum(_WIDTHS)])
 _LAST = 4094 - FIRST
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Stops once it has ``most`` bytes."""
+    size = 0
     raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
     n_bits, at = len(data) * 8, 0
     single = [bytes([i]) for i in range(256)] + [b"", b""]
@@ -59,10 +64,16 @@ def lzw_decode(data: bytes) -> bytes:
             if not prev:
                 prev = table[c]
             else:
+                if c > len(table):
+                    raise ValueError(f"LZW code {c} of {len(table)}")
                 entry = table[c] if c < len(table) else prev + prev[:1]
                 add(prev + entry[:1])
                 prev = entry
             out.append(prev)
+        if most is not None:
+            size = sum(map(len, out))
+            if size >= most:
+                break
         if not len(stops) or codes[stop] == END:
             break
         at = int(pos[stop] + w[stop])
@@ -131,31 +142,34 @@ def packbits_encode(data: bytes, row: int) -> bytes:
     return b"".join(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int | None = None) -> bytes:
     out: list[bytes] = []
-    i, n = 0, len(data)
-    while i < n:
+    i, n, size = 0, len(data), 0
+    while i < n and (most is None or size < most):
         h = data[i]
         if h < 128:
             out.append(data[i + 1 : i + 2 + h])
             i += 2 + h
+            size += 1 + h
         elif h == 128:
             i += 1
         else:
             out.append(data[i + 1 : i + 2] * (257 - h))
             i += 2
+            size += 257 - h
     return b"".join(out)
 
 
-def decompress(data: bytes, compression: int) -> bytes:
+def decompress(data: bytes, compression: int, most: int) -> bytes:
+    """``most``: the bytes that are needed."""
     if compression == NONE:
         return data
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     raise ValueError(f"compression {compression}")
 
 
@@ -195,8 +209,10 @@ def _tags(media: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
         code = TYPES.get(kind)
         if code is None:
             continue
-        form = f"{order}{count}s" if code == "s" else order + code * count
+        form = f"{order}{count * len(code)}{code[0]}"
         size = struct.calcsize(form)
+        if size > len(media):
+            raise ValueError(f"tag {tag}: {count} values")
         place = entry + 8 if size <= 4 else struct.unpack_from(order + "I", media, entry + 8)[0]
         tags[tag] = struct.unpack_from(form, media, place)
     return tags, struct.unpack_from(order + "I", media, at + 2 + 12 * n)[0]
@@ -214,17 +230,24 @@ def read_pages(media: bytes) -> Iterator[Page]:
         one = lambda tag, default=None: tags.get(tag, (default,))[0]  # noqa: E731, B023
         width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
         bits, compression, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
+        if min(width, height, samples) < 1 or width * height * samples * (bits // 8) > MOST_RATIO * len(media):
+            raise ValueError(f"{width} x {height} x {samples} samples in {len(media)} bytes")
         if bits not in (8, 16, 32, 64) or one(PLANAR, 1) != 1:
             raise ValueError(f"{bits} bits a sample, planar configuration {one(PLANAR, 1)}")
         kind = np.dtype(f"{order}{'f' if one(SAMPLE_FORMAT, 1) == 3 else 'u'}{bits // 8}")
         tiled = TILE_OFFSETS in tags
         w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+        if min(w, h) < 1 or w * h * samples * (bits // 8) > MOST_RATIO * len(media):
+            raise ValueError(f"blocks of {w} x {h}")
         across = -(-width // w)
+        blocks = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True))
+        if len(blocks) != across * -(-height // h):
+            raise ValueError(f"{len(blocks)} blocks")
         image = np.zeros((height, width, samples), kind.newbyteorder("="))
-        for k, (o, n) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True)):
+        for k, (o, n) in enumerate(blocks):
             y, x = k // across * h, k % across * w
             rows = h if tiled else min(h, height - y)
-            raw = decompress(media[o : o + n], compression)
+            raw = decompress(media[o : o + n], compression, rows * w * samples * kind.itemsize)
             flat = np.frombuffer(raw, kind, rows * w * samples).reshape(rows, w, samples)
             block = unpredict(flat if predictor == 3 else flat.astype(kind.newbyteorder("=")), predictor)
             image[y : y + rows, x : x + w] = block[: height - y, : width - x]
@@ -292,7 +315,7 @@ def pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 try:
                     for p in read_pages(media):
                         put(i, p.page, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.data.tobytes(), None)
-                except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError) as e:
+                except Exception as e:  # whatever a broken file leads to is its own row's matter
                     put(i, -1, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")
             return out
 
