@@ -53,3 +53,11 @@ def test_query_columns_and_odd_rows(spark):
     ids = bpe.encode_column(df, VOCAB, P.PATTERN)
     back = bpe.decode_column(ids, VOCAB, P.PATTERN).collect()
     assert all(bytes(r.bytes).decode() == texts[r.doc_id] for r in back)
+
+
+def test_the_cache_is_bounded_in_characters():
+    known = bpe.Known(len, 100, chars=50)
+    for k in range(1000):
+        assert known["x" * (k % 30)] == k % 30
+        assert sum(map(len, known)) < 80 and sum(map(len, known.old)) < 80
+    assert known["y" * 10_000] == 10_000 and "y" * 10_000 not in known

@@ -27,8 +27,8 @@ from tierfold.llm.common import map_rows, text_rows
 WIDTH = 256
 #: Ids moved up by 17 bits, so that a pair is one number.
 SHIFTED = [k << 17 for k in range(1 << 17)]
-#: Pre-tokens that one generation of the cache holds; two generations live at once.
-CACHE = 700_000
+#: Pre-tokens that one generation of the cache holds, and their characters; two generations live at once. Longer ones than LONG aren't kept.
+CACHE, CACHE_CHARS, LONG = 700_000, 12_000_000, 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,20 +68,24 @@ class RankQueue:
 
 
 class Known(dict):
-    """What a function gives for a key, kept for the keys of late: two generations of at most ``size``."""
+    """What a function gives for a key, kept for the keys of late: two generations of at most ``size`` keys and ``chars`` characters; a value has no more parts than its key has bytes."""
 
-    def __init__(self, make: Callable[[str], Any], size: int):
+    def __init__(self, make: Callable[[str], Any], size: int, chars: int = CACHE_CHARS):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.chars, self.held, self.old = make, size, chars, 0, {}
 
     def __missing__(self, key: str):
+        if len(key) > LONG:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
+        if len(self) >= self.size or self.held >= self.chars:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
+        self.held += len(key)
         return value
 
 
