@@ -1,13 +1,14 @@
 """Best-fit packing of token sequences with a bounded number of open bins.
 
 Documents become pieces of at most ``capacity`` tokens; only longer ones are cut, the first piece taking what is left
-over. The lengths alone are then dealt evenly to packers of some thousand pieces, each of which streams them, longest
-first, into its open bins: a bitset keyed by free space gives the tightest bin that fits; if none fits and the number of
-open bins is at its bound, the fullest is closed. What a packer holds is bounded by its pieces and its open bins; the
-number of packers grows with the table.
+over. The lengths alone are then dealt evenly to packers of some ten thousand pieces, each of which streams them, in the
+order of a hash, into its open bins: a bitset keyed by free space gives the tightest bin that fits; if none fits and the
+number of open bins is at its bound, the fullest is closed. The stream is read ``ahead`` pieces at a time, and of these the longest
+come first: so the short ones find the room that the long ones leave. What a packer holds is bounded by its pieces and its open bins; the
+number of packers grows with the table. Rows are dealt by their place in the table, not by what they hold, so that copies of a row don't meet in one packer.
 
 Null text: empty, that is the end token alone. Empty text: likewise. Very long texts: whole, in many pieces. Ties:
-the order of (length, doc_id, piece). Repeated rows: packed each. Empty table: no rows. Further columns are ignored.
+the order of the stream. Repeated rows: packed each. Empty table: no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import zlib
 from array import array
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +29,10 @@ from tierfold.llm.bpe import Known, rarely_collect
 from tierfold.llm.common import cut, map_rows, schema_of, text_rows
 
 CAPACITY = 1024
-OPEN_BINS = 4096
+#: Bins that are open at a time, and pieces that are read ahead.
+OPEN_BINS, AHEAD = 512, 1024
 #: Pieces shorter than the capacity that one packer gets, on average.
-PACKER = 4096
+PACKER = 65536
 CACHE = 700_000
 
 
@@ -133,8 +136,13 @@ def best_fit(lengths: Iterable[int], capacity: int, open_bins: int) -> tuple[lis
     return bins, offsets
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, packer: int = PACKER) -> DataFrame:
-    """``pieces`` with sequence_id and offset. The pieces are checkpointed: they are counted, then dealt."""
+def in_windows(lengths: np.ndarray, ahead: int) -> np.ndarray:
+    """Places of a stream in the order in which it is packed: of each ``ahead`` pieces the longest first."""
+    return np.lexsort((np.arange(len(lengths)), -lengths, np.arange(len(lengths)) // ahead))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, packer: int = PACKER, ahead: int = AHEAD) -> DataFrame:
+    """``pieces`` with sequence_id and offset. The pieces are checkpointed: they are counted, then dealt by their place in the checkpoint, which stays the same if a task is run again."""
     pieces = cut(pieces)
     n = pieces.where(F.col("length") < capacity).count()
     packers = max(1, -(-n // packer))
@@ -142,12 +150,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     arrow = to_arrow_schema(schema_of(ddl))
     # Whole sequences need no packer; their numbers lie below zero.
     whole = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = pieces.where(F.col("length") < capacity).withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(packers)).cast("int"))
+    rest = pieces.withColumn("place", F.xxhash64(F.monotonically_increasing_id())).where(F.col("length") < capacity).withColumn("packer", F.pmod("place", F.lit(packers)).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        t = t.sort_by("place")
+        t = t.take(pa.array(in_windows(t["length"].to_numpy(), ahead)))
         bins, offsets = best_fit(t["length"].to_pylist(), capacity, open_bins)
         p = t["packer"][0].as_py()
-        return t.drop_columns(["packer"]).append_column("sequence_id", pa.array([b * packers + p for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64())).cast(arrow)
+        return t.drop_columns(["packer", "place"]).append_column("sequence_id", pa.array([b * packers + p for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64())).cast(arrow)
 
     return rest.groupBy("packer").applyInArrow(run, ddl).unionByName(whole)
