@@ -25,8 +25,9 @@ from math import log
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tierfold.llm.common import cut, map_rows
+from tierfold.llm.common import cut, map_rows, quoted
 
 SAMPLE = 8192
 #: Documents with a lower probability of being good are rejected.
@@ -127,8 +128,7 @@ def with_evidence(df: DataFrame, model, text_col: str, columns: list[Column], na
 
         return run
 
-    ddl = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in fields) + f", `{name}` double"
-    return map_rows(chosen, ddl, make)
+    return map_rows(chosen, StructType([*(StructField(x.name, x.dataType) for x in fields), StructField(name, DoubleType())]), make)
 
 
 def _strength(rates: DataFrame, n: str, s: str) -> tuple[float, float]:
@@ -171,7 +171,7 @@ def keep_good(df: DataFrame, labels: DataFrame, host_col: str = "source", path_c
     """The rows of ``df`` that aren't rejected, with the columns of ``df``."""
     model = train(df, labels, id_col, text_col)
     site = [F.coalesce(df[host_col].cast("string"), F.lit("")).alias("host"), F.coalesce(df[path_col].cast("string"), F.lit("")).alias("path")]
-    rows = F.struct(*[df[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(df.columns)]).alias("row")
+    rows = F.struct(*[df[quoted(c)].alias(f"c{k}") for k, c in enumerate(df.columns)]).alias("row")
     scored = with_evidence(df, model, text_col, [rows, *site], "evidence")
     good = posterior(scored).where(F.col("posterior") >= keep)
     return good.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(df.columns)])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from tierfold.llm.common import schema_of
+from tierfold.llm.common import quoted, schema_of
 
 LENGTH = 50
 GRAM = 16
@@ -496,7 +496,7 @@ def _found(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None):
     buckets = max(8, n_runs // 2)
     columns = [df[id_col].cast("long").alias("id"), text.alias("text")]
     if keep is not None:
-        columns.append(F.struct(df[text_col].isNull().alias("none"), *[df[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(keep)]).alias("row"))
+        columns.append(F.struct(df[text_col].isNull().alias("none"), *[df[quoted(c)].alias(f"c{k}") for k, c in enumerate(keep)]).alias("row"))
     # Rows without id stay apart by their text.
     docs = df.select(*columns).withColumn("run", F.pmod(F.coalesce(F.xxhash64("id"), F.xxhash64("text")), F.lit(n_runs)).cast("int"))
 
