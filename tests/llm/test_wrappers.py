@@ -3,7 +3,7 @@ import random
 import re
 
 from tierfold.llm import wrappers
-from tierfold.llm.wrappers import Node, blocks, match, merge, slots, tree_of
+from tierfold.llm.wrappers import Node, Parsed, blocks, dumps, fold, induced, loads, match, merge, slots, tree_of
 
 DDL = "page_id long, url string, html string, text string, host string"
 
@@ -81,28 +81,155 @@ def brute_match(a, b):
     def best(x, y):
         if not x or not y:
             return 0
-        return max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + brute_match(x[0], y[0]))
+        here = brute_match(x[0], y[0])
+        # A list node may stay for the next sibling.
+        return max(best(x[1:], y), best(x, y[1:]), here + best(x[1:], y[1:]), here + best(x, y[1:]) if here and x[0].many else 0)
 
     return 1 + best(a.children, b.children)
 
 
+def random_tree(rng, depth, lists=True):
+    return Node(rng.choice("abc"), [random_tree(rng, depth - 1, lists) for _ in range(rng.randrange(0, 4))] if depth else [], lists and rng.random() < 0.3)
+
+
 def test_tree_matching_as_brute_force():
     rng = random.Random(2)
+    for _ in range(60):
+        a, b = (Node("r", [random_tree(rng, 2) for _ in range(3)]) for _ in range(2))
+        assert match(a, b, {}) == brute_match(a, b)
 
-    def tree(depth):
-        return Node(rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randrange(0, 4))] if depth else [])
 
+def test_slots_are_a_best_matching():
+    """Pairs keep order and labels, and there are as many as brute force finds."""
+    rng = random.Random(3)
     for _ in range(60):
-        a, b = Node("r", [tree(2) for _ in range(3)]), Node("r", [tree(2) for _ in range(3)])
-        assert match(a, b, {}) == brute_match(a, b)
+        a, b = (Node("r", [random_tree(rng, 1, False) for _ in range(3)]) for _ in range(2))
+        got, labels = slots(a, b), [x.label for x in a.leaves()]
+        assert [labels[k] for k in got if k >= 0] == [y.label for k, y in zip(got, b.leaves()) if k >= 0]
+        on = [k for k in got if k >= 0]
+        assert on == sorted(on)
+
+
+def tree(html):
+    return fold(tree_of(blocks(html)))
+
+
+def test_siblings_stay_apart():
+    """Two siblings of one label are two slots where they look different, and one list where they look alike."""
+    one = tree("<body><div><a>x</a></div><div><p>t</p><p>u</p></div>")
+    assert [(c.label, c.many) for c in one.children[0].children] == [("div", False), ("div", False)]
+    three = tree("<body>" + "<div><p>t</p></div>" * 3)
+    assert [(c.label, c.many) for c in three.children[0].children] == [("div", True)]
+
+
+def test_prose_is_one_list():
+    page = tree("<body><h1>t</h1>" + "<h2>a</h2><p>b</p><p>c</p><ul><li>d</li></ul>" * 30)
+    assert [c.label for c in page.children[0].children] == ["h1", "*"] and len(page.leaves()) == 4
+    assert sorted(k for x in page.leaves() for k in x.at) == list(range(121))
+
+
+def test_alignment_with_optional_nodes():
+    """What only some pages have goes in between; the rest keeps its slots."""
+    plain, more = "<body><div>a</div><table><tr><td>x</table><div><p>c</p></div>", "<body><div>a</div><div><ul><li>n</ul></div><table><tr><td>x</table><div>e</div><div><p>c</p></div>"
+    w = loads(induced([(dumps(tree(plain)), 3), (dumps(tree(more)), 2)]))
+    a, b = slots(w, tree(plain)), slots(w, tree(more))
+    assert sorted(set(a)) == a and sorted(set(b)) == b and set(a) < set(b) and len(b) == len(w.leaves())
+    assert [x.n for x in w.leaves()] == [5, 2, 5, 2, 5]
+
+
+def test_rare_nodes_leave_the_wrapper():
+    common, rare = tree("<body><p>a</p>"), tree("<body><p>a</p><pre>b</pre>")
+    assert len(loads(induced([(dumps(common), 40), (dumps(rare), 1)])).leaves()) == 1
+    assert len(loads(induced([(dumps(common), 10), (dumps(rare), 1)])).leaves()) == 2
+
+
+def test_wrapper_in_groups_as_at_once(spark):
+    """Groups and rounds give a wrapper with the same leaves as one alignment."""
+    pages = [f"<body><div>a</div>{'<ul><li>n</ul>' * (i % 2)}<table><tr><td>x</table>{'<pre>e</pre>' * (i % 3)}<div><p>c</p></div>{'<dl><dd>q</dl>' * (i % 5 > 1)}" for i in range(40)]
+    shapes = sorted({dumps(tree(p)) for p in pages})
+    rows = spark.createDataFrame([(h, s, 1) for h in ("h", "g") for s in shapes], "host string, shape string, n long")
+    got = {r.host: r.wrapper for r in wrappers.wrappers_of(rows, 3).collect()}
+    once = loads(induced([(s, 1) for s in shapes]))
+    assert got["h"] == got["g"] and loads(got["h"]).n == once.n == len(shapes)
+    assert [(x.label, x.n) for x in loads(got["h"]).leaves()] == [(x.label, x.n) for x in once.leaves()]
+
+
+def test_merging_keeps_all_nodes():
+    rng = random.Random(5)
+    for _ in range(30):
+        trees = [Node("", [random_tree(rng, 2, False) for _ in range(3)]) for _ in range(4)]
+        w = Node("", n=0)
+        for t in trees:
+            merge(w, loads(dumps(t)))
+        assert w.n == 4
+        for t in trees:
+            assert match(w, t, {}) >= 1 and all(x.n <= 4 for x in w.leaves())
+
+
+WORDS = [a + b + c for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+
+
+def untagged(rng, i, n_links, n_text):
+    """Links and content are divs without names, links first; some pages have a further div of links before or after."""
+    say = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    links = "".join(f"<p><a href=/{k}>{say(3)}</a></p>" for k in range(n_links))
+    text = [say(rng.randrange(8, 15)) for _ in range(n_text)]
+    page = f"<body><div>The weekly paper of the town</div><div>{links}</div>{('<div><ul><li><a>' + say(2) + '</a></ul></div>') * (i % 2)}<div>{''.join(f'<p>{t}</p>' for t in text)}<p>Share this text with others</p></div><div>All rights reserved, {i % 2 and 'printed' or 'made'} in town</div>"
+    return page, text
+
+
+def test_alignment_decides_without_telling_names(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(24):
+        html_, text = untagged(rng, i, 4, 3 + i % 3)
+        rows.append((i, f"http://plain.example/{i}", html_))
+        want[i] = "\n".join(text + [f"All rights reserved, {i % 2 and 'printed' or 'made'} in town"])
+    assert extracted(spark, rows) == want
+    # By label paths alone, links and content are one slot, and the links stay.
+    model = {r.host: r for r in wrappers.induce(spark.createDataFrame([("plain.example", r[2]) for r in rows], "host string, html string")).collect()}["plain.example"]
+    w = loads(model.wrapper)
+
+    def by_path(node, path=()):
+        return [(*path, node.label)] if not node.children else [p for c in node.children for p in by_path(c, (*path, node.label))]
+
+    paths = [tuple(x.replace("#a", "#") for x in p) for p in by_path(w)]
+    assert len(set(paths)) < len(paths)
+    linked = {paths[k] for k in model.links}
+    assert linked & {p for k, p in enumerate(paths) if k not in model.links}
+
+
+def test_small_hosts_as_brute_force(spark):
+    """Every block of every page against a direct reading of the rules, with slots from pairwise brute-force matching to the host's first page."""
+    rng = random.Random(9)
+    rows, pages = [], {}
+    for h in range(6):
+        for i in range(3 + h):
+            say = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+            parts = [("h4", "Notes of the house" if rng.random() < 0.9 else say(3)), ("pre", say(30)), ("dd", "Printed in town"), ("blockquote", say(20))]
+            key = len(rows)
+            rows.append((key, f"http://h{h}.example/{i}", "<body>" + "".join(f"<{t}>{x}</{t}>" for t, x in parts)))
+            pages.setdefault(h, []).append((key, parts))
+    got = extracted(spark, rows)
+    for found in pages.values():
+        n = len(found)
+        const = {(k, parts[k][1]) for _, parts in found for k in range(4) if sum(p[k] == parts[k] for _, p in found) >= max(3, 0.8 * n)}
+        for key, parts in found:
+            assert got[key] == "\n".join(x for k, (_, x) in enumerate(parts) if (k, x) not in const)
+
+
+def test_packed_pages_as_broadcast(spark):
+    """Beyond the bound of the broadcast the same rows come from packed pages, a hot host in salts."""
+    rng = random.Random(10)
+    rows = [(i, f"http://{'hot' if i % 3 else f'h{i}'}.example/{i}", untagged(rng, i, 3, 3)[0]) for i in range(60)] + [(99, None, None), (98, "http://hot.example/", page(1, "<p>x"))]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], DDL)
+    as_rows = lambda d: sorted(map(tuple, d.collect()))
+    assert as_rows(wrappers.extract(df)) == as_rows(wrappers.extract(df, bound=0))
 
 
-def test_merging_keeps_all_paths():
-    pages = [[("a", "b"), ("a", "c")], [("a", "x"), ("a", "c"), ("d",)], [("d",), ("a", "b", "e")]]
-    w = tree_of(pages[0])
-    for p in pages[1:]:
-        merge(w, tree_of(p))
-    assert {p for page in pages for p in page} <= set(slots(w)) and len(set(slots(w).values())) == len(slots(w))
+def test_page_packs_and_unpacks():
+    p = Parsed.of("<body><article><p>one <a>two</a><p>\udc80three")
+    assert Parsed.unpack(p.pack()) == p
 
 
 def test_blocks_know_their_place():

@@ -1,20 +1,26 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are parsed to trees of block elements. Trees are made small by folding siblings of one label, so that a
-host has few distinct ones. A slot is a path of labels: as siblings of one label are one node, the simple tree matching
-that merges the host's trees into its wrapper only collects their paths, and doesn't tell such siblings apart.
-Over all pages of the host it is then counted how often each text stands in each slot, and how much of a slot's text is
-link text. Constant nodes become template; so do slots of navigation, adverts, forms and the like, by element, role and
-class, and slots that are mostly links. What varies in the remaining slots is content. Where a host marks an article or
-main element, content is what lies in it.
-
-Host statistics are partial aggregates over (host, slot, text) and over distinct trees, so a host with a third of all
-pages costs no task more than others; the pages themselves meet their host's wrapper in a join that can be split.
+Pages of a host are parsed to ordered trees of block elements and text. Siblings that look alike and stand next to each
+other become one list node; others stay nodes of their own, in order. The trees of a host are aligned one after another
+by simple tree matching: nodes of equal label that the best matching pairs become one node of the wrapper, and the rest is put
+in between. A text of a page belongs to the slot that the same matching pairs it with.
+
+Over all pages of the host it is then counted how often each text stands in each slot, and how much of a slot is link
+text. A text is constant if at least ``CONSTANT_SHARE`` of the host's distinct pages with that slot have it there, and
+three or more; the more pages agree, the more it tells. What varies is content, but for slots that are mostly links.
+Constant texts that make up nearly all of a host's text tell of copied pages rather than of a template, which counts
+against dropping them. What an element, role or class says (menus, footers, notices, adverts, forms, comments; article,
+main) is a prior that this evidence is added to; it decides alone where a host has a page or two.
+
+A host's distinct trees are dealt to groups of about ``FAN``, each group's wrapper is aligned with others' in rounds, and
+nodes on less than a ``RARE``-th of the pages leave the wrapper, so no task holds more than a bounded number of small trees, however
+large the host. Texts are counted by partial aggregates. What was learnt meets the pages in a broadcast if it is small
+(``BROADCAST`` bytes, measured), so that no page is shuffled; else the pages' texts travel packed to it, those of hosts with over a
+thousandth of all pages dealt to salts.
 
 Null html: empty text. Null url: host ''. Pages without blocks: empty text. Broken markup: read as far as it goes, as
-browsers do. Very long pages: whole. Repeated rows: a row each; equal pages count once as evidence. A page of which
-constant blocks would be half or more is a copy, not a template, and keeps them. Empty table: no rows. Further columns
-are ignored.
+browsers do; like them, elements nested over 512 deep become siblings. Very long pages: whole. Repeated rows: a row each; equal pages
+count once as evidence. Ties in an alignment: the later node. Empty table: no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +28,15 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from dataclasses import dataclass, field
+import sys
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
+from math import log, log2
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -54,9 +66,23 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 LABEL_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: A text in a slot is template if at least this share of the host's distinct pages have it, and so many at least: two may be alike by chance.
+#: A text is constant if at least this share of the host's distinct pages with its slot have it there, and so many at least: two may be alike by chance.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 3
 LINK_SHARE = 0.6
+#: What is known before any alignment, in nats: of text in an article or main element, and of mostly links.
+INSIDE, LINKS = 4.0, 3.0
+#: The most that agreeing pages tell, and what the share of constant text on a host tells against it at most and at least.
+MOST, COPIES, TEMPLATE = 6.0, 6.5, 2.0
+#: Trees that are aligned in one group, about; the share of pages that a wrapper's node is on at least is one in RARE.
+FAN, RARE = 64, 20
+#: A label that comes back in more runs of siblings than this makes them prose: one list of several kinds of item.
+RUNS = 8
+#: What was learnt of all hosts is broadcast up to so many bytes.
+BROADCAST = 32 << 20
+#: Elements nested deeper become siblings.
+DEEPEST = 512
+
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 16 * DEEPEST))  # trees are walked by recursion
 
 
 @dataclass
@@ -70,6 +96,8 @@ class Block:
     inside: bool
     #: Elements around it, by number, that only a class word or their being a form calls template; ``blocks`` settles these.
     soft: tuple[int, ...] = ()
+    #: Block elements around it, by number, one for each label of the path.
+    nodes: tuple[int, ...] = ()
 
 
 @dataclass
@@ -81,6 +109,7 @@ class _Open:
     link: bool
     own: tuple[int, ...] = ()
     soft: tuple[int, ...] = ()
+    nodes: tuple[int, ...] = ()
 
 
 def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
@@ -143,7 +172,7 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     stack = [_Open("", (), False, False, False)]
     text: list[str] = []
-    links = 0
+    links = n_nodes = 0
     whole: list[bool] = []
     at, n = 0, len(html)
 
@@ -153,7 +182,7 @@ def blocks(html: str) -> list[Block]:
             t = " ".join(entities.unescape("".join(text)).split())
             if t:
                 top = stack[-1]
-                out.append(Block(top.path, t, min(links, len(t)), top.skipped, top.inside, top.soft))
+                out.append(Block(top.path, t, min(links, len(t)), top.skipped, top.inside, top.soft, top.nodes))
             text.clear()
         links = 0
 
@@ -228,77 +257,155 @@ def blocks(html: str) -> list[Block]:
             soft = tuple(k for x in stack if x.tag != "header" for k in x.own)
         elif tag == "header" and top.inside:
             skipped = True
-        path = (*top.path, label) if tag in BLOCKS else top.path
-        stack.append(_Open(tag, path, skipped, inside, top.link or tag == "a", own, soft))
-        if len(stack) > 2000:  # markup nested without end: inner elements stay on the last level
+        path, nodes = top.path, top.nodes
+        if tag in BLOCKS:
+            n_nodes += 1
+            path, nodes = (*path, label), (*nodes, n_nodes)
+            if len(path) > DEEPEST:
+                path, nodes = (*path[: DEEPEST - 1], label), (*nodes[: DEEPEST - 1], n_nodes)
+        stack.append(_Open(tag, path, skipped, inside, top.link or tag == "a", own, soft, nodes))
+        if len(stack) > 4 * DEEPEST:
             stack.pop(-2)
     flush()
     _settle(out, whole)
     return out
 
 
-@dataclass
 class Node:
-    label: str
-    children: list[Node] = field(default_factory=list)
+    """A node of a page's or wrapper's tree. many: a list of items of this kind; n: pages; at: blocks of a page, at its leaves."""
+
+    __slots__ = ("at", "children", "label", "many", "n", "sign")
+
+    def __init__(self, label: str, children: list[Node] | None = None, many: bool = False, n: int = 1, at: list[int] | None = None):
+        self.label, self.children, self.many, self.n, self.at = label, children or [], many, n, at or []
+        self.sign = 0
 
     def packed(self) -> list:
-        return [self.label, [c.packed() for c in self.children]]
+        return [self.label, int(self.many), self.n, [c.packed() for c in self.children]]
 
     @staticmethod
     def unpacked(x: list) -> Node:
-        return Node(x[0], [Node.unpacked(c) for c in x[1]])
+        return Node(x[0], [Node.unpacked(c) for c in x[3]], bool(x[1]), x[2])
+
+    def leaves(self) -> list[Node]:
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            if node.children:
+                todo += reversed(node.children)
+            elif node.label:
+                out.append(node)
+        return out
 
 
-def tree_of(paths: list[tuple[str, ...]], depth: int = 60) -> Node:
-    """Paths as a tree; siblings of one label are one node, in order of their first place."""
+def tree_of(found: list[Block]) -> Node:
+    """The ordered tree of a page's blocks; a text is a leaf, '#a' if most of it is link text."""
     root = Node("")
-    for path in paths:
-        node = root
-        for label in path[:depth]:
-            for c in node.children:
-                if c.label == label:
-                    node = c
-                    break
-            else:
-                node.children.append(Node(label))
-                node = node.children[-1]
+    stack: list[tuple[int, Node]] = []
+    for k, b in enumerate(found):
+        depth = 0
+        while depth < len(stack) and depth < len(b.nodes) and stack[depth][0] == b.nodes[depth]:
+            depth += 1
+        del stack[depth:]
+        for number, label in zip(b.nodes[depth:], b.path[depth:], strict=True):
+            node = Node(label)
+            (stack[-1][1] if stack else root).children.append(node)
+            stack.append((number, node))
+        (stack[-1][1] if stack else root).children.append(Node("#a" if 2 * b.links > len(b.text) else "#", at=[k]))
     return root
 
 
+def _join(a: Node, b: Node) -> None:
+    """Two items of one look become items of a list."""
+    a.at += b.at
+    for x, y in zip(a.children, b.children, strict=True):
+        x.many |= y.many
+        _join(x, y)
+
+
+def _blend(a: Node, b: Node) -> None:
+    """``b`` and all below it put into ``a`` by label alone."""
+    a.at += b.at
+    for y in b.children:
+        x = next((x for x in a.children if x.label == y.label), None)
+        if x is None:
+            a.children.append(y)
+        else:
+            x.many = True
+            _blend(x, y)
+
+
+def fold(node: Node) -> Node:
+    """Neighbours of one look as one list node, from the leaves up: texts and elements of text alone from two on, others from three."""
+    groups: list[list[Node]] = []
+    for c in map(fold, node.children):
+        if groups and groups[-1][0].sign == c.sign:
+            groups[-1].append(c)
+        else:
+            groups.append([c])
+    runs: list[Node] = []
+    for g in groups:
+        if len(g) == 1 or len(g) == 2 and any(c.children for c in g[0].children):
+            runs += g
+            continue
+        for other in g[1:]:
+            _join(g[0], other)
+        g[0].many = True
+        runs.append(g[0])
+    often = {label for label, n in Counter(r.label for r in runs).items() if n > RUNS}
+    if often:
+        on = [k for k, r in enumerate(runs) if r.label in often]
+        prose = Node("*")
+        _blend(prose, Node("*", runs[on[0] : on[-1] + 1]))
+        runs[on[0] : on[-1] + 1] = [prose]
+    node.children = runs
+    node.sign = hash((node.label, *(r.sign for r in runs)))
+    return node
+
+
 def match(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
-    """Simple tree matching: the most pairs of equal labels, order and ancestry kept."""
+    """Simple tree matching: the most pairs of equal labels, order and ancestry kept. A list node of ``a`` may take several siblings of ``b``."""
     if a.label != b.label:
         return 0
     key = (id(a), id(b))
     if key not in memo:
-        row = [0] * (len(b.children) + 1)
-        for x in a.children:
-            new = [0]
-            for j, y in enumerate(b.children):
-                new.append(max(row[j + 1], new[j], row[j] + match(x, y, memo)))
-            row = new
-        memo[key] = row[-1] + 1
+        memo[key] = _table(a, b, memo)[-1][-1] + 1
     return memo[key]
 
 
+def _table(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> list[list[int]]:
+    """Best matchings of the first i children of ``a`` with the first j of ``b``."""
+    rows = [[0] * (len(b.children) + 1)]
+    for x in a.children:
+        row, new = rows[-1], [0]
+        for j, y in enumerate(b.children):
+            best = row[j + 1] if row[j + 1] > new[j] else new[j]
+            if x.label == y.label:
+                s = match(x, y, memo)
+                best = max(best, row[j] + s, new[j] + s if x.many else 0)
+            new.append(best)
+        rows.append(new)
+    return rows
+
+
 def aligned(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
     """The children of two matched nodes that the best matching pairs."""
-    n, m = len(a.children), len(b.children)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i, x in enumerate(a.children):
-        for j, y in enumerate(b.children):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(x, y, memo))
+    best = _table(a, b, memo)
     out = []
-    i, j = n, m
+    i, j = len(a.children), len(b.children)
     while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        x, y = a.children[i - 1], b.children[j - 1]
+        s = match(x, y, memo)
+        if s and best[i][j] == best[i - 1][j - 1] + s:
+            out.append((x, y))
+            i, j = i - 1, j - 1
+        elif s and x.many and best[i][j] == best[i][j - 1] + s:
+            out.append((x, y))
             j -= 1
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
         else:
-            i, j = i - 1, j - 1
-            out.append((a.children[i], b.children[j]))
+            j -= 1
     return out[::-1]
 
 
@@ -307,125 +414,263 @@ def merge(wrapper: Node, page: Node) -> None:
     memo: dict[tuple[int, int], int] = {}
 
     def into(w: Node, p: Node) -> None:
-        pairs = aligned(w, p, memo)
-        partner = {id(y): x for x, y in pairs}
-        for x, y in pairs:
-            into(x, y)
-        known = {c.label for c in w.children}
+        w.many |= p.many
+        partner = {id(y): x for x, y in aligned(w, p, memo)}
+        met: set[int] = set()
         place = 0
         for y in p.children:
             x = partner.get(id(y))
-            if x is not None:
-                place = next(k for k, c in enumerate(w.children) if c is x) + 1
-            elif y.label not in known:
+            if x is None:
                 w.children.insert(place, y)
                 place += 1
-            else:  # the same label out of order is the same slot
-                into(next(c for c in w.children if c.label == y.label), y)
+                continue
+            if id(x) not in met:
+                x.n += y.n
+                met.add(id(x))
+            into(x, y)
+            place = next(k for k, c in enumerate(w.children) if c is x) + 1
 
+    wrapper.n += page.n
     into(wrapper, page)
 
 
-def slots(wrapper: Node) -> dict[tuple[str, ...], int]:
-    """The numbers of a wrapper's nodes, by path."""
-    out: dict[tuple[str, ...], int] = {}
-    todo = [(wrapper, ())]
+def slots(wrapper: Node, page: Node) -> list[int]:
+    """For each leaf of a page's tree, the number of the wrapper's leaf that it is aligned with, or -1."""
+    number = {id(x): k for k, x in enumerate(wrapper.leaves())}
+    memo: dict[tuple[int, int], int] = {}
+    found: dict[int, int] = {}
+    todo = [(wrapper, page)]
     while todo:
-        node, path = todo.pop()
-        out[path] = len(out)
-        todo += [(c, (*path, c.label)) for c in reversed(node.children)]
-    return out
+        for x, y in aligned(*todo.pop(), memo):
+            found[id(y)] = number.get(id(x), -1)
+            todo.append((x, y))
+    return [found.get(id(y), -1) for y in page.leaves()]
 
 
-def fold(trees: list[str]) -> str:
-    """Trees of one host, as text, to their wrapper."""
-    wrapper = Node("")
-    for t in sorted(trees, key=lambda x: (-len(x), x)):
-        merge(wrapper, Node.unpacked(json.loads(t)))
-    return json.dumps(wrapper.packed(), ensure_ascii=False, separators=(",", ":"))
+def dumps(tree: Node) -> str:
+    return json.dumps(tree.packed(), ensure_ascii=False, separators=(",", ":"))
 
 
-def _evidence(rows: dict[str, list]) -> dict[str, list]:
+def loads(text: str) -> Node:
+    return Node.unpacked(json.loads(text))
+
+
+def induced(trees: list[tuple[str, int | None]]) -> str:
+    """The wrapper of some trees or wrappers (as text; pages that have a tree), those of most pages first."""
+    wrapper = Node("", n=0)
+    for text, n in sorted(trees, key=lambda x: (-(x[1] or 0), x[0])):
+        tree = loads(text)
+        if n is not None:
+            todo = [tree]
+            while todo:
+                node = todo.pop()
+                node.n = n
+                todo += node.children
+        merge(wrapper, tree)
+    todo = [wrapper]
+    while todo:
+        node = todo.pop()
+        node.children = [c for c in node.children if c.n * RARE >= wrapper.n]
+        todo += node.children
+    return dumps(wrapper)
+
+
+def _hash(text: str) -> int:
     import xxhash
 
-    out: dict[str, list] = {"host": [], "page": [], "tree": [], "slots": []}
-    for host, html in zip(rows["host"], rows["html"], strict=True):
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+@dataclass
+class Parsed:
+    """A page: its tree as text, and of its blocks that may be content the leaf, the text, the length of links, and whether it is in an article."""
+
+    shape: str
+    blocks: list[tuple[int, str, int, bool]]
+
+    @staticmethod
+    def of(html: str) -> Parsed:
         found = blocks(html)
-        tree = tree_of([b.path for b in found])
+        tree = fold(tree_of(found))
+        leaf = {k: i for i, x in enumerate(tree.leaves()) for k in x.at}
+        on = [k for k, b in enumerate(found) if not b.skipped]
+        if any(found[k].inside for k in on):
+            on = [k for k in on if found[k].inside]
+        return Parsed(dumps(tree), [(leaf[k], found[k].text, found[k].links, found[k].inside) for k in on])
+
+    def pack(self) -> bytes:
+        return zstandard.compress(json.dumps([self.shape, self.blocks]).encode("utf-8", "surrogatepass"), 3)
+
+    @staticmethod
+    def unpack(data: bytes) -> Parsed:
+        shape, found = json.loads(zstandard.decompress(data))
+        return Parsed(shape, [tuple(b) for b in found])
+
+
+#: Of each block of a page that may be content.
+ITEM = np.dtype([("leaf", "<u4"), ("text", "<i8"), ("chars", "<u4"), ("links", "<u4")])
+
+
+def _evidence(rows: dict[str, list]) -> dict[str, list]:
+    out: dict[str, list] = {"host": [], "page": [], "shape": [], "items": []}
+    for host, html in zip(rows["host"], rows["html"], strict=True):
+        p = Parsed.of(html)
+        items = np.array([(leaf, _hash(text), len(text), links) for leaf, text, links, _ in p.blocks], ITEM)
         out["host"].append(host)
-        out["page"].append(xxhash.xxh64_intdigest("\n".join(b.text for b in found)) - (1 << 63))
-        out["tree"].append(json.dumps(tree.packed(), ensure_ascii=False, separators=(",", ":")))
-        out["slots"].append([{"path": "/".join(b.path), "text": xxhash.xxh64_intdigest(b.text) - (1 << 63), "chars": len(b.text), "links": b.links} for b in found])
+        out["page"].append(_hash(p.shape + "".join(text for _, text, _, _ in p.blocks)))
+        out["shape"].append(p.shape)
+        out["items"].append(items.tobytes())
     return out
 
 
+class Wrapper:
+    """A host's wrapper as text, and where the leaves of pages of a shape belong in it."""
+
+    def __init__(self, text: str | None):
+        self.tree = loads(text) if text else Node("")
+        self.known: dict[str, list[int]] = {}
+
+    def slots(self, shape: str) -> list[int]:
+        if shape not in self.known:
+            if len(self.known) >= 256:
+                self.known.clear()
+            self.known[shape] = slots(self.tree, loads(shape))
+        return self.known[shape]
+
+
+def of_late(make: Callable, most: int = 256) -> Callable:
+    """What ``make`` gives for a key and further values, kept for some keys."""
+    made: dict = {}
+
+    def get(key, *rest):
+        if key not in made:
+            if len(made) >= most:
+                made.clear()
+            made[key] = make(*rest)
+        return made[key]
+
+    return get
+
+
 class Extractor:
-    """Content of a page, given its host's wrapper, link slots and constant texts."""
+    """Content of a page, given what is known of its host: wrapper, slots that are mostly links, constant texts, and the share of the host's text that these make up."""
+
+    def __init__(self, wrapper: str | None, links: list[int] | None, constants: list | None, share: float | None):
+        self.wrapper = Wrapper(wrapper)
+        self.links = set(links or [])
+        self.pages = {(c["slot"], c["text"]): c["pages"] for c in constants or []}
+        q = min(0.999, max(0.001, share or 0.0))
+        self.copies = min(COPIES, max(-TEMPLATE, 2 * log(q / (1 - q))))
+
+    def score(self, slot: int, text: str, inside: bool) -> float:
+        out = INSIDE if inside else 0.0
+        if slot in self.links:
+            out -= LINKS
+        n = self.pages.get((slot, _hash(text))) if self.pages else None
+        if n is not None:
+            out -= min(MOST, 2 * log2(n / 2)) - self.copies
+        return out
+
+    def __call__(self, page: Parsed) -> str:
+        place = self.wrapper.slots(page.shape)
+        return "\n".join(text for leaf, text, _, inside in page.blocks if self.score(place[leaf], text, inside) >= 0)
+
+
+def meet(rows: DataFrame, model: DataFrame, weigh: list[str], bound: int) -> DataFrame:
+    """``rows`` with their host's row of ``model``, if any: by broadcast up to ``bound`` bytes of its columns ``weigh``, else by a join in which large hosts are dealt to salts."""
+    size = model.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in weigh), F.lit(64)))).first()[0] or 0
+    if size <= bound:
+        return rows.join(F.broadcast(model), "host", "left")
+    counts = cut(rows.groupBy("host").agg(F.count("*").alias("rows")))
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    large = F.broadcast(counts.where(F.col("rows") * 1024 > total).select("host", F.lit(64).alias("salts")))  # at most 1,024 hosts
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(large, "host", "left").withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "host"]), salts).cast("int")).drop("salts")
+    each = model.join(large, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(each, ["host", "salt"], "left").drop("salt")
+
+
+def wrappers_of(shapes: DataFrame, fan: int = FAN) -> DataFrame:
+    """(host, wrapper) of (host, shape, n) rows, in groups and rounds."""
+    ddl = "host string, group long, wrapper string"
+    arrow = to_arrow_schema(schema_of(ddl))
+
+    def first(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([{"host": key[0].as_py(), "group": key[1].as_py(), "wrapper": induced(list(zip(t["shape"].to_pylist(), t["n"].to_pylist(), strict=True)))}], arrow)
+
+    def later(key: tuple, t: pa.Table) -> pa.Table:
+        found = t["wrapper"].to_pylist()
+        return pa.Table.from_pylist([{"host": key[0].as_py(), "group": key[1].as_py(), "wrapper": found[0] if len(found) == 1 else induced([(x, None) for x in found])}], arrow)
+
+    sizes = shapes.groupBy("host").agg(F.ceil(F.count("*") / fan).alias("groups"))
+    dealt = shapes.join(sizes, "host").withColumn("group", F.pmod(F.xxhash64("shape"), F.col("groups")))
+    out = cut(dealt.groupBy("host", "group").applyInArrow(first, ddl))
+    while (out.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        out = cut(out.withColumn("group", F.floor(F.col("group") / fan)).groupBy("host", "group").applyInArrow(later, ddl))
+    return out.select("host", "wrapper")
+
+
+def induce(pages: DataFrame, bound: int = BROADCAST) -> DataFrame:
+    """(host, wrapper, links, constants, share) from (host, html) rows."""
+    # Equal pages of a host are one piece of evidence.
+    seen = cut(map_rows(pages.select("host", "html"), "host string, page long, shape string, items binary", lambda: _evidence).dropDuplicates(["host", "page"]))
+    wrapper = cut(wrappers_of(seen.groupBy("host", "shape").agg(F.count("*").alias("n"))))
+
+    def make():
+        get = of_late(Wrapper)
+
+        def f(rows):
+            out: dict[str, list] = {k: [] for k in ("host", "slot", "text", "pages", "first", "chars", "links")}
+            for host, shape, items, told in zip(rows["host"], rows["shape"], rows["items"], rows["wrapper"], strict=True):
+                place = get(host, told).slots(shape)
+                sums: dict[tuple[int, int], list[int]] = {}
+                for leaf, text, chars, links in np.frombuffer(items, ITEM).tolist():
+                    slot = place[leaf]
+                    x = sums.setdefault((slot, text if slot >= 0 else 0), [0, 0])
+                    x[0] += chars
+                    x[1] += links
+                met: set[int] = set()
+                for (slot, text), (chars, links) in sums.items():
+                    for k, v in zip(out, (host, slot, text, 1, int(slot not in met), chars, links), strict=True):
+                        out[k].append(v)
+                    met.add(slot)
+            return out
 
-    def __init__(self, wrapper: str | None, links: list[str] | None, constants: list | None):
-        tree = Node.unpacked(json.loads(wrapper)) if wrapper else Node("")
-        self.slots = slots(tree)
-        self.links = {self.slots.get(tuple(x.split("/"))) for x in links or []} - {None}
-        self.constants = {(c["path"], c["text"]) for c in constants or []}
+        return f
 
-    def __call__(self, html: str) -> str:
-        import xxhash
+    each = map_rows(meet(seen.select("host", "shape", "items"), wrapper, ["wrapper"], bound), "host string, slot int, text long, pages long, first long, chars long, links long", make)
+    texts = cut(each.groupBy("host", "slot", "text").agg(*[F.sum(c).alias(c) for c in ("pages", "first", "chars", "links")]))
+    by_slot = texts.groupBy("host", "slot").agg(F.sum("first").alias("of"), F.sum("chars").alias("slot_chars"), F.sum("links").alias("slot_links"))
+    total = by_slot.groupBy("host").agg(
+        F.sum("slot_chars").alias("total"), F.sort_array(F.collect_list(F.when((F.col("slot") >= 0) & (F.col("slot_links") > LINK_SHARE * F.col("slot_chars")), F.col("slot")))).alias("links")
+    )
+    constant = texts.where((F.col("slot") >= 0) & (F.col("pages") >= CONSTANT_PAGES)).join(by_slot, ["host", "slot"]).where(F.col("pages") >= CONSTANT_SHARE * F.col("of"))
+    constants = constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "text", "pages"))).alias("constants"), F.sum("chars").alias("chars"))
+    out = wrapper.join(total, "host", "left").join(constants, "host", "left")
+    return out.select("host", "wrapper", "links", "constants", (F.col("chars") / F.col("total")).alias("share"))
 
-        found = blocks(html)
-        kept = [b for b in found if not b.skipped]
-        if any(b.inside for b in kept):
-            kept = [b for b in kept if b.inside]
-        else:
-            kept = [b for b in kept if self.slots.get(b.path) not in self.links]
-        if self.constants and kept:
-            template = [("/".join(b.path), xxhash.xxh64_intdigest(b.text) - (1 << 63)) in self.constants for b in kept]
-            if 2 * sum(len(b.text) for b, t in zip(kept, template, strict=True) if t) < sum(len(b.text) for b in kept):
-                kept = [b for b, t in zip(kept, template, strict=True) if not t]
-        return "\n".join(b.text for b in kept)
-
-
-def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, links, constants) from (host, html) rows."""
-    ddl = "host string, page long, tree string, slots array<struct<path: string, text: long, chars: int, links: int>>"
-    # Equal pages of a host are one piece of evidence; the digest decides which rows stay, and a tree follows from them.
-    seen = cut(map_rows(pages.select("host", "html"), ddl, lambda: _evidence).dropDuplicates(["host", "page"]))
-    trees = seen.groupBy("host", "tree").agg(F.count("*").alias("n"))
-    arrow = to_arrow_schema(schema_of("host string, tree string"))
-
-    def folded(t: pa.Table) -> pa.Table:
-        return pa.Table.from_arrays([pa.array([t["host"][0].as_py()], pa.string()), pa.array([fold(t["tree"].to_pylist())], pa.string())], schema=arrow)
-
-    some = trees.withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(16))).groupBy("host", "salt").applyInArrow(folded, "host string, tree string")
-    wrapper = some.groupBy("host").applyInArrow(folded, "host string, tree string").withColumnRenamed("tree", "wrapper")
-    sizes = seen.groupBy("host").agg(F.count("*").alias("n_pages"))
-    each = seen.select("host", "page", F.explode("slots").alias("s")).select("host", "page", "s.*")
-    links = each.groupBy("host", "path").agg((F.sum("links") > LINK_SHARE * F.sum("chars")).alias("mostly")).where("mostly").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("links"))
-    texts = each.groupBy("host", "path", "text", "page").agg(F.lit(1).alias("one")).groupBy("host", "path", "text").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES)
-    constants = texts.join(sizes, "host").where(F.col("n") >= CONSTANT_SHARE * F.col("n_pages")).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("constants"))
-    return wrapper.join(links, "host", "left").join(constants, "host", "left")
-
-
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bound: int = BROADCAST) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     host = F.coalesce(F.lower(F.regexp_extract(df[url_col], r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
-    pages = df.select(df[id_col].cast("long").alias("page_id"), df[url_col].alias("url"), F.coalesce(df[html_col].cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    known = cut(induce(pages))
+    pages = df.select(df[id_col].cast("long").alias("page_id"), df[url_col].cast("string").alias("url"), F.coalesce(df[html_col].cast("string"), F.lit("")).alias("html"), host.alias("host"))
+    model = cut(induce(pages, bound))
+    weigh = ["wrapper", "links", "constants"]
+    small = (model.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in weigh), F.lit(64)))).first()[0] or 0) <= bound
 
     def make():
-        made: dict[str, Extractor] = {}
+        get = of_late(Extractor)
 
         def f(rows):
             out = {"page_id": rows["page_id"], "url": rows["url"], "text": [], "n_chars": []}
-            for host, html, *told in zip(rows["host"], rows["html"], rows["wrapper"], rows["links"], rows["constants"], strict=True):
-                if host not in made:
-                    if len(made) >= 256:
-                        made.clear()
-                    made[host] = Extractor(*told)
-                text = made[host](html)
+            for host, page, *told in zip(rows["host"], rows["html" if small else "packed"], rows["wrapper"], rows["links"], rows["constants"], rows["share"], strict=True):
+                text = get(host, *told)(Parsed.of(page) if small else Parsed.unpack(page))
                 out["text"].append(text)
                 out["n_chars"].append(len(text))
             return out
 
         return f
 
-    return map_rows(pages.join(known, "host", "left"), "page_id long, url string, text string, n_chars long", make)
+    if not small:
+        pages = map_rows(pages, "page_id long, url string, host string, packed binary", lambda: lambda r: {"page_id": r["page_id"], "url": r["url"], "host": r["host"], "packed": [Parsed.of(x).pack() for x in r["html"]]})
+    return map_rows(meet(pages, model, weigh, bound), "page_id long, url string, text string, n_chars long", make)
