@@ -3,7 +3,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tierfold.functions.config import CorruptFile, InvalidConfiguration, InvalidMethod, Ladder, UnlikeLadders
+from tierfold.functions.config import ConcurrentWrite, CorruptFile, InvalidConfiguration, InvalidMethod, Ladder, UnlikeLadders
 from tierfold.operators import align, rollup
 from tierfold.sources import ringfile, tables, text
 from tierfold.sources.store import Store
@@ -114,3 +114,89 @@ def test_bulk_equals_one_call_of_all(spark, tmp_path):
     want = rollup.cascade(empty, align.direct_writes(raw_rows(spark, rows), LADDER, now), LADDER, "max", 0.1)
     key = lambda r: (r.level, r.interval, r.value)
     assert sorted(map(key, store.points().collect())) == sorted(map(key, want.collect()))
+
+
+def rows_of(store):
+    return sorted((r.series_id, r.level, r.interval, r.value) for r in store.points().collect())
+
+
+def test_series_have_their_own_settings(spark, tmp_path):
+    now = 10_000
+    own, names = Ladder.of((2, 30), (20, 30)), lambda *x: spark.createDataFrame([(n,) for n in x], "series_id string")
+    store = Store(spark, str(tmp_path / "st")).create(LADDER, "average", 0.0, shards=3)
+    store.add(names("x", "y"), own, "sum", 0.0)
+    rows = [(s, now - k, k) for s in ("a", "x", "y") for k in (0, 1, 2, 3, 70, 71)]
+    store.update_many(raw_rows(spark, rows), now)
+    empty = spark.createDataFrame([], "series_id string, level int, interval long, value double")
+    want = []
+    for s, ladder, method in (("a", LADDER, "average"), ("x", own, "sum"), ("y", own, "sum")):
+        got = rollup.cascade(empty, align.direct_writes(raw_rows(spark, [r for r in rows if r[0] == s]), ladder, now), ladder, method, 0.0)
+        want += [(r.series_id, r.level, r.interval, r.value) for r in got.collect()]
+    assert rows_of(store) == sorted(want)
+    assert {(r.series_id, r.aggregation_method, r.max_retention) for r in store.info().collect()} == {("a", "average", 600), ("x", "sum", 600), ("y", "sum", 600)}
+    assert {r.series_id for r in store.fetch(now - 10, now, now, step=2).collect()} == {"x", "y"}
+    assert store.set_method("max", series=names("y")) == "sum" and store.settings()[0] == "average"
+    assert {r.series_id: r.aggregation_method for r in store.info().collect()} == {"a": "average", "x": "sum", "y": "max"}
+    store.resize(Ladder.of((4, 15), (20, 30)), now, series=names("y"))
+    assert {r.series_id: r.archives[0].seconds_per_point for r in store.info().collect()} == {"a": 1, "x": 2, "y": 4}
+    assert {r[2] % 4 for r in rows_of(store) if r[0] == "y" and r[1] == 0} == {0}
+    other = Store(spark, str(tmp_path / "other")).create(own, "sum", 0.0, shards=2)
+    other.update_many(raw_rows(spark, [("x", now, 50), ("z", now, 60)]), now)
+    store.merge(other, now)
+    assert {r[3] for r in rows_of(store) if r[1] == 0 and r[2] == now and r[0] in "xz"} == {50.0, 60.0}
+    assert {r.series_id: r.aggregation_method for r in store.info().collect()}["z"] == "sum"
+    assert store.diff(other, now).where("series_id in ('x', 'z') and level = 0").where(f"interval = {now}").count() == 0
+
+
+def test_what_is_too_old_goes_with_the_next_write(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "st")).create(LADDER, "sum", 0.0, shards=1)
+    store.update_many(raw_rows(spark, [("s", 10_000, 1)]), 10_000)
+    store.update_many(raw_rows(spark, [("s", 10_100, 2)]), 10_100)
+    assert rows_of(store) == [("s", 0, 10100, 2.0), ("s", 1, 10000, 1.0), ("s", 1, 10100, 2.0)]
+    store.update_many(raw_rows(spark, [("t", 20_000, 3)]), 20_000)
+    assert rows_of(store) == [("t", 0, 20000, 3.0), ("t", 1, 20000, 3.0)]
+
+
+def test_a_write_takes_effect_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    now, root = 10_000, tmp_path / "st"
+    store = Store(spark, str(root)).create(LADDER, "sum", 0.0, shards=2)
+    store.update_many(raw_rows(spark, [("s", now, 1), ("t", now, 1)]), now)
+    before, versions = rows_of(store), lambda: {p.name for t in ("points", "series") for p in (root / t).glob("version=*")}
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            store.update_many(raw_rows(spark, [("s", now, 9)]), now)
+    assert rows_of(store) == before
+    there = versions()
+    assert store.vacuum() == 0 and store.vacuum(-1) == 1 and len(versions()) == len(there) - 1 and rows_of(store) == before
+    # A second writer that read the same state is refused.
+    old = store._manifest()
+    store.update_many(raw_rows(spark, [("s", now, 5)]), now)
+    with pytest.raises(ConcurrentWrite):
+        store._commit(old, old)
+    for k in range(4):
+        store.update_many(raw_rows(spark, [("s", now, k)]), now)
+    assert len(list((root / "points").glob("version=*"))) <= 3 and len(list((root / "manifests").glob("*.json"))) == 2
+    store.restore()
+    assert ("s", 0, now, 2.0) in rows_of(store)
+
+
+def test_late_points_are_routed_by_their_time_of_writing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "st")).create(LADDER, "sum", 0.0, shards=1)
+    raw = spark.createDataFrame([("s", 9_000, 1.0, 0, 9_000), ("s", 9_500, 2.0, 1, 9_600), ("s", 9_700, 4.0, 2, 9_710), ("s", 8_000, 8.0, 3, 9_710)], RAW + ", written long")
+    store.update_many(raw, 9_710, clock="written")
+    got = [r for r in rows_of(store)]
+    assert ("s", 1, 9500, 2.0) in got and ("s", 0, 9700, 4.0) in got and not [r for r in got if r[1] == 0 and r[2] == 9500]
+    assert not [r for r in got if r[2] < 9_110]  # 8000 was too late, 9000 is too old by now
+
+
+def test_ring_files_into_a_store(spark, tmp_path):
+    (tmp_path / "f" / "a").mkdir(parents=True)
+    (tmp_path / "f" / "a" / "one.wsp").write_bytes(ringfile.write_file(LADDER, "sum", 0.25, {0: [(9990, 1.0)], 1: [(9990, 2.0)]}))
+    (tmp_path / "f" / "two.wsp").write_bytes(ringfile.write_file(Ladder.of((5, 10)), "max", 0.5, {0: [(9995, 3.0)]}))
+    (tmp_path / "f" / "bad.wsp").write_bytes(b"bad")
+    store = Store(spark, str(tmp_path / "st")).create(LADDER, shards=2)
+    broken = store.load_files(str(tmp_path / "f"), str(tmp_path / "f")).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in broken] == ["bad.wsp"]
+    assert rows_of(store) == [("a.one", 0, 9990, 1.0), ("a.one", 1, 9990, 2.0), ("two", 0, 9995, 3.0)]
+    assert {(r.series_id, r.aggregation_method, len(r.archives)) for r in store.info().collect()} == {("a.one", "sum", 2), ("two", "max", 1)}

@@ -19,21 +19,25 @@ def last_write_wins(raw: DataFrame, step: int | Column, keys: tuple[str, ...] =
     return known.withColumn("interval", floor_to_step("ts", step)).groupBy(*keys, "interval").agg(F.max_by("value", order).alias("value"))
 
 
-def level_by_age(ladder: Ladder, now: int) -> Column:
-    """The finest level that keeps a point; null if none does. Points of the future belong to the finest."""
-    age = F.lit(now).cast("long") - F.col("ts")
+def _at(now: int | Column) -> Column:
+    return (F.lit(now) if isinstance(now, int) else now).cast("long")
+
+
+def level_by_age(ladder: Ladder, now: int | Column) -> Column:
+    """The finest level that keeps a point; null if none does. Points of the future belong to the finest. ``now`` may be each point's own time of writing."""
+    age = _at(now) - F.col("ts")
     out = F.lit(None).cast("int")
     for k in reversed(range(len(ladder))):
         out = F.when(age <= ladder[k].retention, F.lit(k)).otherwise(out)
     return out
 
 
-def routed(raw: DataFrame, ladder: Ladder, now: int, future: str = "reject") -> DataFrame:
+def routed(raw: DataFrame, ladder: Ladder, now: int | Column, future: str = "reject") -> DataFrame:
     """Raw points with their level in a bulk write; too old ones are gone, and those of the future unless accepted."""
     if future not in ("reject", "accept"):
         raise ValueError(f"future: reject or accept, not {future}")
     out = raw.withColumn("level", level_by_age(ladder, now)).where("level is not null")
-    return out if future == "accept" else out.where(F.col("ts") <= now)
+    return out if future == "accept" else out.where(F.col("ts") <= _at(now))
 
 
 def dropped(raw: DataFrame, ladder: Ladder, now: int) -> DataFrame:
@@ -45,11 +49,11 @@ def dropped(raw: DataFrame, ladder: Ladder, now: int) -> DataFrame:
 def check_single(ts: int, ladder: Ladder, now: int) -> int:
     """The level of a single write; stricter than a bulk write, it raises for the future and at the exact age limit."""
     if not 0 <= now - ts < ladder.max_retention:
-        raise NotCovered("Timestamp not covered by any archives in this database.")
+        raise NotCovered(f"no level keeps {ts} at {now}")
     return ladder.level_for(now - ts)
 
 
-def direct_writes(raw: DataFrame, ladder: Ladder, now: int, future: str = "reject") -> DataFrame:
+def direct_writes(raw: DataFrame, ladder: Ladder, now: int | Column, future: str = "reject") -> DataFrame:
     """(series_id, level, interval, value) that a bulk write puts straight into each level."""
     step = F.element_at(F.array(*[F.lit(x.step).cast("long") for x in ladder.levels]), F.col("level") + 1)
     return last_write_wins(routed(raw, ladder, now, future), step, ("series_id", "level"))

@@ -18,7 +18,7 @@ from tierfold.sources.shared import settle
 
 def check_alike(a: Ladder, b: Ladder) -> None:
     if a.pairs() != b.pairs():
-        raise UnlikeLadders("archive configurations are unalike. Resize the input first")
+        raise UnlikeLadders(f"levels {a.pairs()} and {b.pairs()} differ; resize one of the two")
 
 
 def _inside(windows: list[Window]) -> Column:
@@ -31,7 +31,7 @@ def merge(source: DataFrame, target: DataFrame, ladder: Ladder, now: int, method
     """The target with the source's known points written over it level by level, and their rollups."""
     end = now if end is None else end
     if end < start:
-        raise ValueError("time_to must be >= time_from")
+        raise ValueError(f"the range ends at {end}, before {start}")
     windows = [grid_window(k, x.step, max(start, now - x.retention), end) for k, x in enumerate(ladder.levels) if end >= now - x.retention]
     writes = source.where(_inside(windows) & F.col("value").isNotNull())
     return cascade(target, writes, ladder, method, xff)

@@ -38,7 +38,7 @@ def select_window(ladder: Ladder, start: int, end: int | None, now: int, step: i
     """The clamped grid and the level that a read uses; None if nothing in the range can be kept."""
     end = now if end is None else end
     if start > end:
-        raise InvalidInterval(f"Invalid time interval: from time '{start}' is after until time '{end}'")
+        raise InvalidInterval(f"the range ends at {end}, before {start}")
     oldest = now - ladder.max_retention
     if start > now or end < oldest:
         return None
@@ -46,7 +46,7 @@ def select_window(ladder: Ladder, start: int, end: int | None, now: int, step: i
     if step is not None:
         level = next((k for k, x in enumerate(ladder.levels) if x.step == step), None)
         if level is None:
-            raise ValueError(f"Invalid granularity: {step}")
+            raise ValueError(f"no level has a step of {step} s")
     else:
         level = ladder.level_for(now - start)
     return grid_window(level, ladder[level].step, start, end)

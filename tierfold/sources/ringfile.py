@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -39,9 +39,9 @@ def read_header(content: bytes, path: str = "") -> Header:
         code, longest, xff, n = HEADER.unpack_from(content, 0)
         archives = [ARCHIVE.unpack_from(content, HEADER.size + k * ARCHIVE.size) for k in range(n)]
     except struct.error as e:
-        raise CorruptFile("Unable to read header", path) from e
+        raise CorruptFile("too short for its header", path) from e
     if code not in NAMES or not 0 <= xff <= 1:
-        raise CorruptFile("Unable to read header", path)
+        raise CorruptFile("no header of a ring file", path)
     return Header(NAMES[code], longest, xff, tuple((o, Level(s, p)) for o, s, p in archives))
 
 
@@ -49,7 +49,7 @@ def read_slots(content: bytes, header: Header, level: int, path: str = "") -> np
     """The slots of an archive in the file's order."""
     offset, x = header.archives[level]
     if offset + x.points * SLOT.itemsize > len(content):
-        raise CorruptFile("Unable to read datapoints", path)
+        raise CorruptFile(f"too short for the slots of level {level}", path)
     return np.frombuffer(content, SLOT, x.points, offset)
 
 
@@ -70,6 +70,11 @@ def write_file(ladder: Ladder, method: str, xff: float, points: dict[int, list[t
     return head + b"".join(body)
 
 
+def series_name(path: str, root: str = "") -> Column:
+    """The series of a file: its dotted path below ``root``."""
+    return metric_name(F.regexp_replace(path, "^[a-z]+:/*", "/"), root)
+
+
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
@@ -87,13 +92,16 @@ def _decoded(files: DataFrame, schema: StructType, rows: callable) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def read_headers(spark: SparkSession, path: str, pattern: str = "*.wsp") -> DataFrame:
-    """(path, name, method, xff, max_retention, archives, error): one row a file, corrupt or not."""
+def read_headers(spark: SparkSession, path: str, pattern: str = "*.wsp", slots: bool = False) -> DataFrame:
+    """(path, name, method, xff, max_retention, archives, error): one row a file, corrupt or not; with ``slots`` one that is cut short is corrupt too."""
     schema = StructType.fromDDL("path string, method string, xff float, max_retention long, archives array<struct<level: int, seconds_per_point: long, points: long, offset: long>>, error string")
 
     def rows(p, content):
         try:
             h = read_header(content, p)
+            if slots:
+                for k in range(len(h.archives)):
+                    read_slots(content, h, k, p)
         except CorruptFile as e:
             return {"path": [p], "method": [None], "xff": [None], "max_retention": [None], "archives": [None], "error": [e.message]}
         archives = [{"level": k, "seconds_per_point": x.step, "points": x.points, "offset": o} for k, (o, x) in enumerate(h.archives)]
@@ -102,12 +110,24 @@ def read_headers(spark: SparkSession, path: str, pattern: str = "*.wsp") -> Data
     return _decoded(_files(spark, path, pattern), schema, rows).withColumn("name", metric_name("path"))
 
 
-def corrupt_files(spark: SparkSession, path: str, pattern: str = "*.wsp") -> DataFrame:
-    return read_headers(spark, path, pattern).where("error is not null").select("path", "error")
+def corrupt_files(spark: SparkSession, path: str, pattern: str = "*.wsp", slots: bool = False) -> DataFrame:
+    return read_headers(spark, path, pattern, slots).where("error is not null").select("path", "error")
+
+
+def delete_files(paths: DataFrame) -> int:
+    """Deletes the files of a column ``path``; how many there were."""
+    spark = paths.sparkSession
+    n = 0
+    for r in paths.select("path").toLocalIterator():  # one by one: what is deleted is few, and the list isn't held
+        path = spark._jvm.org.apache.hadoop.fs.Path(r.path)
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    return n
 
 
-def dump(spark: SparkSession, path: str, pattern: str = "*.wsp") -> DataFrame:
-    """(path, level, slot, interval, value) of all slots as they lie in the files, empty ones too (interval 0)."""
+def dump(spark: SparkSession, path: str, pattern: str = "*.wsp", broken: str = "skip") -> DataFrame:
+    """(path, level, slot, interval, value) of all slots as they lie in the files, empty ones too (interval 0). ``broken``: files that can't be read are left out (``corrupt_files`` has them), or ``raise``."""
+    if broken not in ("skip", "raise"):
+        raise ValueError(f"broken: skip or raise, not {broken}")
     schema = StructType.fromDDL("path string, level int, slot int, interval long, value double")
 
     def rows(p, content):
@@ -115,6 +135,8 @@ def dump(spark: SparkSession, path: str, pattern: str = "*.wsp") -> DataFrame:
             h = read_header(content, p)
             rings = [read_slots(content, h, k, p) for k in range(len(h.archives))]
         except CorruptFile:
+            if broken == "raise":
+                raise
             return None
         n = [len(r) for r in rings]
         if not sum(n):
@@ -130,9 +152,9 @@ def dump(spark: SparkSession, path: str, pattern: str = "*.wsp") -> DataFrame:
     return _decoded(_files(spark, path, pattern), schema, rows)
 
 
-def read_points(spark: SparkSession, path: str, root: str = "", pattern: str = "*.wsp") -> DataFrame:
+def read_points(spark: SparkSession, path: str, root: str = "", pattern: str = "*.wsp", broken: str = "skip") -> DataFrame:
     """(series_id, level, interval, value) of the known slots; the series is the dotted path."""
-    return dump(spark, path, pattern).where(F.col("interval") > 0).select(metric_name(F.regexp_replace("path", "^[a-z]+:/*", "/"), root).alias("series_id"), "level", "interval", "value")
+    return dump(spark, path, pattern, broken).where(F.col("interval") > 0).select(series_name("path", root).alias("series_id"), "level", "interval", "value")
 
 
 def to_files(state: DataFrame, ladder: Ladder, method: str, xff: float) -> DataFrame:

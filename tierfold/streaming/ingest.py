@@ -15,7 +15,9 @@ from tierfold.sources.store import Store
 
 
 def into_store(stream: DataFrame, store: Store, checkpoint: str, clock: str = "ts", **trigger) -> StreamingQuery:
-    """Micro-batches of raw points written to a store; now is the newest time of a batch.
+    """Micro-batches of raw points written to a store. ``clock``: the column with each point's time of writing, by which
+    it is routed: a late point goes to the level that kept its age when it was written. Its own time by default, that is
+    to the finest level.
 
     A batch that is tried again writes the same points into the same slots, so the store is as if it had run once.
     """
@@ -23,7 +25,7 @@ def into_store(stream: DataFrame, store: Store, checkpoint: str, clock: str = "t
     def write(batch: DataFrame, _: int) -> None:
         now = batch.agg(F.max(clock)).first()[0]
         if now is not None:
-            store.update_many(batch, int(now), model="continuous")
+            store.update_many(batch, int(now), clock=clock)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
