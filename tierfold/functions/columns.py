@@ -33,7 +33,7 @@ def byte_format(n: str | Column) -> Column:
     x = _c(n)
     out = F.format_string("%d bytes", x.cast("long"))
     for size, unit in ((1024, "KB"), (1024**2, "MB"), (1024**3, "GB")):
-        out = F.when(x >= size, F.format_string(f"%.3f {unit}", x / size)).otherwise(out)
+        out = F.when(x >= size, F.format_string(f"%.3f {unit}", F.bround(x / size, 3))).otherwise(out)
     return out
 
 

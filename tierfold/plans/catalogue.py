@@ -101,10 +101,10 @@ _add(
 )
 
 
-def _direct(raw: str, ladder: Ladder, now: int) -> list[str]:
-    out, newer = [], -1
+def _direct(raw: str, ladder: Ladder, now: int, future: bool = False) -> list[str]:
+    out, newer = [], -now if future else -1
     for x in ladder.levels:
-        out.append(_slots(f"SELECT * FROM ({raw}) WHERE {now} - t > {newer} AND {now} - t <= {x.retention} AND t <= {now}", x.step))
+        out.append(_slots(f"SELECT * FROM ({raw}) WHERE {now} - t > {newer} AND {now} - t <= {x.retention}", x.step))
         newer = x.retention
     return out
 
@@ -342,7 +342,47 @@ _add(
         True,
     ),
 )
-_add("fill_compat", _filled("compat"))
+
+
+def _with(steps: list[tuple[str, str]], last: str) -> str:
+    return "WITH " + ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in steps) + f" {last}"
+
+
+def _cascade_steps(name: str, state: str | None, writes: list[str], ladder: Ladder) -> list[tuple[str, str]]:
+    """The state after writes into each level, as table ``name`` (s, l, i, v): a write beats a rollup, which beats what was there; only fresh buckets roll up."""
+    steps: list[tuple[str, str]] = []
+    for k in range(len(ladder)):
+        tiers = [f"SELECT s, i, v, 2 AS p FROM ({writes[k]})"]
+        if state:
+            tiers.append(f"SELECT s, i, v, 0 AS p FROM {state} WHERE l = {k}")
+        if k:
+            coarse, n = ladder[k].step, ladder[k].step // ladder[k - 1].step
+            tiers.append(f"SELECT s, i - i % {coarse} AS i, avg(v) AS v, 1 AS p FROM {name}_{k - 1} GROUP BY s, i - i % {coarse} HAVING count(v) / {n}.0 >= CAST(0.5 AS FLOAT)::DOUBLE AND max(p) > 0")
+        steps.append((f"{name}_{k}", f"SELECT s, i, arg_max(v, p) AS v, max(p) AS p FROM ({' UNION ALL '.join(tiers)}) GROUP BY 1, 2"))
+    return [*steps, (name, " UNION ALL ".join(f"SELECT s, {k} AS l, i, v FROM {name}_{k}" for k in range(len(ladder))))]
+
+
+def _fill_compat_sql() -> str:
+    """Level by level: runs of two or more unknown or zero slots and the slot that closes them take the source's finest points by bulk write."""
+    steps = [("source", _STATE), ("target", _HOLES), ("state0", f"SELECT * FROM target WHERE {_KEPT}")]
+    end, pieces, newer = NOW, [], None
+    for j, y in enumerate(S.levels):
+        pieces.append(f"(l = {j} AND i > {NOW - y.retention}" + (f" AND i <= {newer})" if newer else ")"))
+        newer = NOW - y.retention
+    for k, x in enumerate(S.levels):
+        w = read.grid_window(k, x.step, NOW - x.retention, end)
+        steps += [
+            (f"empty{k}", f"SELECT g.s, g.i FROM (SELECT s, unnest(range({w.lo}, {w.hi}, {x.step})) AS i FROM (SELECT DISTINCT s FROM target)) g LEFT JOIN (SELECT * FROM state{k} WHERE l = {k}) p ON p.s = g.s AND p.i = g.i WHERE p.v IS NULL OR p.v = 0"),
+            (f"runs{k}", f"SELECT s, min(i) AS a, max(i) AS b FROM (SELECT s, i, i - {x.step} * row_number() OVER (PARTITION BY s ORDER BY i) AS island FROM empty{k}) GROUP BY s, island HAVING count(*) > 1"),
+            (f"slots{k}", f"SELECT DISTINCT s, unnest(range(a, CASE WHEN b < {w.hi - x.step} THEN b + {x.step} ELSE b END + {x.step}, {x.step})) AS i FROM runs{k}"),
+            (f"raw{k}", f"SELECT q.s, q.i AS t, q.v, 0 AS a FROM source q WHERE ({' OR '.join(pieces)}) AND EXISTS (SELECT 1 FROM slots{k} z WHERE z.s = q.s AND z.i = (q.i + {x.step - 1}) // {x.step} * {x.step})"),
+            *_cascade_steps(f"state{k + 1}", f"state{k}", _direct(f"SELECT * FROM raw{k}", S, NOW), S),
+        ]
+        end = NOW - x.retention
+    return _with(steps, _out(f"state{len(S)}", True).replace(f"(state{len(S)})", f"state{len(S)}"))
+
+
+_add("fill_compat", _filled("compat"), _fill_compat_sql())
 
 # --- New levels
 
@@ -377,8 +417,28 @@ def _resize_sql() -> str:
 
 
 _add("resize_plain", _resized(False), _resize_sql())
-_add("resize_aggregate", _resized(True))
-_add("resize_aggregate_aligned", _resized(True, True))
+
+
+def _resize_aggregate_sql(aligned: bool) -> str:
+    """The old grids spliced, the finest for each age; buckets of the new steps summed up from them and written in by age, level by level."""
+    grids, oldest = [], None
+    for w in [read.select_window(S, NOW - x.retention + x.step, NOW, NOW) for x in S.levels]:
+        hi = w.hi if oldest is None else min(w.hi, -(-(oldest - w.lo) // w.step) * w.step + w.lo)
+        if hi > w.lo:
+            grids.append(f"SELECT g.s, g.i, p.v FROM (SELECT s, unnest(range({w.lo}, {hi}, {w.step})) AS i FROM (SELECT DISTINCT s FROM old)) g LEFT JOIN (SELECT * FROM old WHERE l = {w.level}) p ON p.s = g.s AND p.i = g.i")
+            oldest = w.lo
+    steps, state = [("old", f"SELECT * FROM ({_STATE}) WHERE {_KEPT}"), ("spliced", " UNION ALL ".join(grids))], None
+    for k, x in enumerate(NEW.levels):
+        first = NOW - x.retention + NOW % x.step
+        start = f"i - i % {x.step}" if aligned else f"{first} + (i - {first}) // {x.step} * {x.step}"
+        summed = f"SELECT s, {start} AS t, avg(v) AS v, 0 AS a FROM spliced WHERE i >= {first} AND i < {first + x.points * x.step} GROUP BY s, {start} HAVING count(v) > 0 AND count(v) / count(*) >= 0.5"
+        steps += [(f"raw{k}", summed), *_cascade_steps(f"state{k}", state, _direct(f"SELECT * FROM raw{k}", NEW, NOW, True), NEW)]
+        state = f"state{k}"
+    return _with(steps, _out(state, True).replace(f"({state})", state))
+
+
+_add("resize_aggregate", _resized(True), _resize_aggregate_sql(False))
+_add("resize_aggregate_aligned", _resized(True, True), _resize_aggregate_sql(True))
 
 # --- Configuration
 
@@ -401,8 +461,9 @@ def _archives_sql() -> str:
 
 _add(
     "estimate_storage",
-    lambda s, d: rules.estimate(_archives(s)).drop("size"),
-    f"SELECT id AS schema_id, CAST(m AS BIGINT) AS metrics, CAST(b * m AS BIGINT) AS bytes, CAST((b + 4095) // 4096 * 4096 * m AS BIGINT) AS disk_bytes FROM (SELECT id, 16 + 12 * count(*) + 12 * sum(pts) AS b FROM {_archives_sql()} GROUP BY 1), (SELECT unnest([1, 1000, 5000, 10000, 50000, 100000, 500000]) AS m)",
+    lambda s, d: rules.estimate(_archives(s)),
+    "SELECT *, CASE WHEN disk_bytes >= 1073741824 THEN printf('%.3f GB', disk_bytes / 1073741824.0) WHEN disk_bytes >= 1048576 THEN printf('%.3f MB', disk_bytes / 1048576.0) WHEN disk_bytes >= 1024 THEN printf('%.3f KB', disk_bytes / 1024.0) ELSE printf('%d bytes', disk_bytes) END AS size "
+    f"FROM (SELECT id AS schema_id, CAST(m AS BIGINT) AS metrics, CAST(b * m AS BIGINT) AS bytes, CAST((b + 4095) // 4096 * 4096 * m AS BIGINT) AS disk_bytes FROM (SELECT id, 16 + 12 * count(*) + 12 * sum(pts) AS b FROM {_archives_sql()} GROUP BY 1), (SELECT unnest([1, 1000, 5000, 10000, 50000, 100000, 500000]) AS m))",
 )
 _add(
     "validate_configs",
@@ -470,15 +531,35 @@ _add("text_points", _parsed, f"SELECT 'all' AS series_id, count(*) AS points, ma
 def _late(s: SparkSession, d: str) -> DataFrame:
     """Each point is written up to three days after its time."""
     raw = tables.events(s, d)
-    raw = raw.withColumn("now", F.col("ts") + F.pmod(F.xxhash64("arrival"), F.lit(3 * 86400))).withColumn("arrival", F.col("now") * 1000 + F.col("arrival") % 1000)
+    raw = raw.withColumn("now", F.col("ts") + F.col("arrival") * 7919 % (3 * 86400)).withColumn("arrival", F.col("now") * 10_000_000 + F.col("arrival"))
     return replay.replay(raw, SHORT, "average", 0.3).withColumn("value", _round())
 
 
-_add("replay_late_points", _late)
+def _late_sql() -> str:
+    """Puts into each level's ring, in order n: those of the points that belong there by age, and after each put into the level
+    below the average of what that level's ring then holds of the bucket. A slot holds what was put there last."""
+    steps = [("w", f"SELECT s, t, v, a * 7919 % 259200 AS age, (t + a * 7919 % 259200) * 10000000 + a AS n FROM ({_raw()})")]
+    younger = -1
+    for k, x in enumerate(SHORT.levels):
+        put = f"SELECT s, n, t, t - t % {x.step} AS i, v FROM w WHERE age > {younger} AND age <= {x.retention} AND age < {SHORT.max_retention}"
+        if k:
+            f = SHORT[k - 1]
+            n = x.step // f.step
+            asked = f"SELECT s, n, t, t - t % {x.step} AS b, unnest(range(t - t % {x.step}, t - t % {x.step} + {x.step}, {f.step})) AS f FROM put{k - 1}"
+            steps.append((f"asked{k}", f"SELECT *, f // {f.step} % {f.points} AS r FROM ({asked})"))
+            held = f"SELECT q.s, q.n, q.t, q.b, q.f, CASE WHEN z.i = q.f THEN z.v END AS v FROM asked{k} q ASOF LEFT JOIN put{k - 1} z ON q.s = z.s AND q.r = z.r AND q.n >= z.n"
+            put += f" UNION ALL SELECT s, n, t, b AS i, avg(v) AS v FROM ({held}) GROUP BY s, n, t, b HAVING count(v) > 0 AND count(v) / {n}.0 >= CAST(0.3 AS FLOAT)::DOUBLE"
+        steps.append((f"put{k}", f"SELECT *, i // {x.step} % {x.points} AS r FROM ({put})"))
+        younger = x.retention
+    rings = " UNION ALL ".join(f"SELECT s, {k} AS l, arg_max(i, n) AS i, arg_max(v, n) AS v FROM put{k} GROUP BY s, r" for k in range(len(SHORT)))
+    return _with(steps, _out(rings, True))
+
+
+_add("replay_late_points", _late, _late_sql())
 _add(
     "replay_in_order",
-    lambda s, d: replay.replay(tables.events(s, d).withColumn("now", F.col("ts")).withColumn("arrival", F.col("ts") * 1_000_000_000 - F.col("arrival")), S, "sum", 0.0).where("level = 2").withColumn("value", _round()),
-    _out(f"SELECT s, 2 AS l, i, v FROM ({_chain(_raw(), S, 'sum', 0.0)[2]})", True),
+    lambda s, d: replay.replay(tables.events(s, d).withColumn("now", F.col("ts")).withColumn("arrival", F.col("ts") * 1_000_000_000 - F.col("arrival")), S, "sum", 0.0).withColumn("value", _round()),
+    _out(" UNION ALL ".join(f"SELECT s, {k} AS l, max(i) AS i, arg_max(v, i) AS v FROM ({src}) GROUP BY s, i // {x.step} % {x.points}" for k, (x, src) in enumerate(zip(S.levels, _chain(_raw(), S, "sum", 0.0), strict=True))), True),
 )
 
 
