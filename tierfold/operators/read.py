@@ -12,6 +12,8 @@ from tierfold.functions.config import InvalidInterval, Ladder
 
 #: Grid rows of one series beyond which a read is refused.
 MOST_SLOTS = 100_000_000
+#: Grid rows that are made at a time.
+GRID_BLOCK = 65_536
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,10 @@ def on_grid(points: DataFrame, series: DataFrame, window: Window) -> DataFrame:
     names = series.select("series_id").distinct()
     if window.slots == 0:
         return names.select("series_id", F.lit(0).cast("long").alias("interval"), F.lit(None).cast("double").alias("value")).limit(0)
-    grid = names.select("series_id", F.explode(F.sequence(F.lit(window.lo).cast("long"), F.lit(window.hi - window.step).cast("long"), F.lit(window.step).cast("long"))).alias("interval"))
+    # In two steps, so that no array holds a whole long grid.
+    last, stride = F.lit(window.hi - window.step).cast("long"), F.lit(window.step).cast("long")
+    blocks = names.select("series_id", F.explode(F.sequence(F.lit(window.lo).cast("long"), last, stride * GRID_BLOCK)).alias("first"))
+    grid = blocks.select("series_id", F.explode(F.sequence("first", F.least(F.col("first") + stride * (GRID_BLOCK - 1), last), stride)).alias("interval"))
     there = points.where((F.col("level") == window.level) & (F.col("interval") >= window.lo) & (F.col("interval") < window.hi))
     return grid.join(there.select("series_id", "interval", "value"), ["series_id", "interval"], "left")
 

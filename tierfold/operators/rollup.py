@@ -73,3 +73,30 @@ def cascade(state: DataFrame, writes: DataFrame, ladder: Ladder, method: str, xf
             summed = now.groupBy("series_id", floor_to_step("interval", coarse).alias("bucket")).agg(method_column(method, slots).alias("value"), covered(slots, stored_xff(xff)).alias("enough"), F.max("tier").alias("fresh"))
             rolled = summed.where("enough and fresh > 0").select("series_id", F.col("bucket").alias("interval"), "value")
     return reduce(DataFrame.union, out)
+
+
+def cascade_in_turn(writes: DataFrame, turns: int, ladder: Ladder, method: str, xff: float) -> DataFrame:
+    """What ``turns`` cascades one after another make of nothing, in one pass. writes: series_id, level, interval, value, turn.
+
+    Each slot has a value as of each turn: that of the latest write or rollup up to it. A bucket is summed up as of every
+    turn at once, and counts in those turns in which a slot of it is fresh.
+    """
+    keys = ["series_id", "interval"]
+    out: list[DataFrame] = []
+    rolled: DataFrame | None = None
+    for k, level in enumerate(ladder.levels):
+        puts = writes.where(F.col("level") == k).select(*keys, "turn", F.lit(2).alias("tier"), "value")
+        if rolled is not None:
+            puts = puts.union(rolled.select(*keys, "turn", F.lit(1).alias("tier"), "value"))
+        put = F.struct("turn", "tier", "value")
+        slots = puts.groupBy(*keys).agg(*[F.max(F.when(F.col("turn") <= j, put)).alias(f"as_of_{j}") for j in range(turns)])
+        out.append(slots.select("series_id", F.lit(k).alias("level"), "interval", F.col(f"as_of_{turns - 1}.value").alias("value")))
+        if k + 1 == len(ladder):
+            break
+        n, coarse = ladder[k + 1].step // level.step, ladder[k + 1].step
+        now = slots.select(*keys, *[F.col(f"as_of_{j}.value").alias(f"value_{j}") for j in range(turns)], *[(F.col(f"as_of_{j}.turn") == j).alias(f"fresh_{j}") for j in range(turns)])
+        sums = [x for j in range(turns) for x in (method_column(method, n, f"value_{j}").alias(f"sum_{j}"), (covered(n, stored_xff(xff), f"value_{j}") & F.coalesce(F.max(f"fresh_{j}"), F.lit(False))).alias(f"on_{j}"))]
+        summed = now.groupBy("series_id", floor_to_step("interval", coarse).alias("bucket")).agg(*sums)
+        each = F.array(*[F.struct(F.lit(j).alias("turn"), F.col(f"sum_{j}").alias("value"), F.col(f"on_{j}").alias("on")) for j in range(turns)])
+        rolled = summed.select("series_id", F.col("bucket").alias("interval"), F.inline(each)).where("on")
+    return reduce(DataFrame.union, out)

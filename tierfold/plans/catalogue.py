@@ -238,7 +238,8 @@ def _merge_sql(start: int, end: int) -> str:
 
 
 def _merged(start: int, end: int) -> Query:
-    return lambda s, d: compare.merge(_half(s, d, 0), _half(s, d, 1), S, NOW, "average", 0.5, start, end).withColumn("value", _round())
+    # Settled, as stores would hold them: each level reads them.
+    return lambda s, d: compare.merge(settle(_half(s, d, 0)), settle(_half(s, d, 1)), S, NOW, "average", 0.5, start, end).withColumn("value", _round())
 
 
 _add("merge_overlay", _merged(0, NOW), _merge_sql(0, NOW))
