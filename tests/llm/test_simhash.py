@@ -127,3 +127,28 @@ def test_one_holder_and_one_who_asks_meet(spark, monkeypatch):
     monkeypatch.setattr(simhash, "keyed", lambda *_: keyed)
     got = simhash.links(spark.createDataFrame([(1, a), (2, b)], "node long, fp long")).collect()
     assert {frozenset((r.u, r.v)) for r in got} == {frozenset((1, 2))}
+
+
+def test_any_legal_thresholds_miss_no_pair(spark, monkeypatch):
+    """Skewed fingerprints, each with thresholds drawn at random from those that sum up to the radius rule."""
+    rng = random.Random(12)
+    centres = [rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) for _ in range(6)]
+    fps = set()
+    while len(fps) < 150:
+        x = rng.choice(centres)
+        for b in rng.sample(range(64), rng.randrange(0, 4)):
+            x ^= 1 << b
+        fps.add(x)
+    parts = [list(range(0, 21)), list(range(21, 42)), list(range(42, 64))]
+    legal = [(a, b, c) for a in range(-1, 3) for b in range(-1, 3) for c in range(-1, 3) if a + b + c == 0]
+    rows = []
+    for node, fp in enumerate(sorted(fps)):
+        for i, (part, t) in enumerate(zip(parts, rng.choice(legal))):
+            value = sum((fp >> b & 1) << k for k, b in enumerate(part))
+            for f in simhash.flips(len(part), t).tolist() if t >= 0 else [0]:
+                rows.append((i, value ^ f, signed(fp), node, f == 0, t >= 0))
+    keyed = spark.createDataFrame(rows, "part int, value long, fp long, node long, held boolean, asks boolean")
+    monkeypatch.setattr(simhash, "keyed", lambda *_: keyed)
+    nodes = dict(enumerate(sorted(fps)))
+    got = {r.node: r.component for r in components(simhash.links(spark.createDataFrame([(i, signed(f)) for i, f in nodes.items()], "node long, fp long"))).collect()}
+    assert {i: got.get(i, i) for i in nodes} == brute_components(nodes)
