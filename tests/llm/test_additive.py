@@ -63,3 +63,33 @@ def test_beam_beats_greedy_and_tables_match():
     got = additive.scores(x[50:60], codes, (y**2).sum(axis=1), books)
     want = ((x[50:60, None, :] - y[None]) ** 2).sum(axis=2) - (x[50:60] ** 2).sum(axis=1)[:, None]
     assert np.abs(got - want).max() < 1e-3
+
+
+def test_repeated_ids_and_large_components(spark):
+    """Of several vectors of one id the least stands for it; components beyond 32 bits are ranked exactly too."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 4)) * 10.0 ** rng.integers(30, 100, (300, 1)))]
+    rows += [(100, [5.0, 1.0, 1.0, 1.0]), (7, [0.5, 1.0, 2.0, 3.0]), (7, [9e120, 1.0, 2.0, 3.0]), (200, list(rows[200][1]))]
+    ids = {}
+    for i, v in rows:
+        ids[i] = min(ids.get(i, v), v)
+    want = brute(list(ids.items()), range(0, 300, 100), 10)
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>")
+        got = {}
+        for r in additive.search(df, df.where("vec_id % 100 = 0"), 10, depth=400).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        assert set(got) == {0, 100, 200}
+        for q in got:
+            assert [i for _, i, _ in sorted(got[q])] == [i for _, i in want[q]]
+
+
+def test_blocks_give_the_same_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 8)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = lambda: sorted(map(tuple, additive.search(df, df.where("vec_id % 10 = 0"), 5).collect()))
+    once = found()
+    monkeypatch.setattr(additive, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(additive, "ROWS_BLOCK", 100)
+    assert found() == once

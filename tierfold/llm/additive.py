@@ -8,12 +8,14 @@ make a lookup table, so that the distance to a coded vector is a sum of table en
 best by that score are ranked again by the exact distance.
 
 Equal vectors are one class with their k + 1 smallest ids, found by a windowed limit before the shuffle; equal queries
-are searched once. Queries meet the coded vectors block by block: both sides are packed, and the vectors' blocks are
-dealt to salts, so no block pair depends on how many rows an id, vector or block has. Nothing is broadcast but the
+are searched once. Queries meet the coded vectors block by block: some thousand queries with some hundred thousand coded
+vectors in a task, which goes through them in small steps, so that neither side is sent often. Both sides are packed, and the
+vectors' blocks are dealt to salts, so no block pair depends on how many rows an id, vector or block has. Nothing is broadcast but the
 codebooks, whose size follows from the parameters.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose length isn't
-the most frequent one (ties: the longest). Ties go to the smaller id. Repeated rows count once. Fewer candidates than k:
+the most frequent one (ties: the longest). Ties go to the smaller id. Repeated rows count once; of several vectors of one
+id the least stands for it. Components too large for 32 bits are scaled down for the codes; the exact ranking takes them as they are. Fewer candidates than k:
 all of them. Empty table: no rows. Further columns are ignored.
 """
 
@@ -32,8 +34,10 @@ STAGES, WORDS, BEAM, SWEEPS = 32, 256, 4, 2
 SAMPLE = 16384
 #: Candidates of a query that are ranked exactly.
 DEPTH = 200
-#: Queries of a block, and coded vectors that meet it in one task, on average.
-QUERY_BLOCK, ROWS_BLOCK = 256, 32768
+#: Queries of a block, and coded vectors that meet it in one task, on average; queries that are scored at once.
+QUERY_BLOCK, ROWS_BLOCK, AT_ONCE = 8192, 262_144, 256
+#: Components up to this size can be squared and summed in 32 bits.
+LARGEST = 1e15
 SEED = 11
 
 
@@ -42,7 +46,15 @@ def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out = df.select(df[id_col].cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     sizes = out.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
-    return out.where(F.size("v") == sizes[0]["size"]) if sizes else out
+    if not sizes:
+        return out
+    out = out.where(F.size("v") == sizes[0]["size"])
+    # Ids with several vectors; only these are looked at again.
+    several = cut(out.groupBy("vec_id").agg((F.count("*") > 1).alias("on")).where("on").select("vec_id"))
+    if several.isEmpty():
+        return out
+    least = out.join(several, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return out.join(several, "vec_id", "left_anti").union(least.select("vec_id", "v"))
 
 
 def nearest_word(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -138,8 +150,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
     n_classes, n_heads = classes.count(), heads.count()
     if not n_heads:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    largest = classes.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0]
+    scale = min(1.0, LARGEST / largest)
     sample = classes.where(F.pmod(F.xxhash64("cid"), F.lit(n_classes)) < SAMPLE).select("v").limit(2 * SAMPLE).toArrow()
-    books = spark.sparkContext.broadcast(fit(matrix(sample["v"])))
+    books = spark.sparkContext.broadcast(fit(matrix(sample["v"]) * scale))
 
     n_blocks, n_salts = -(-n_heads // QUERY_BLOCK), max(8, -(-n_classes // ROWS_BLOCK))
 
@@ -147,13 +161,13 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                x, ids = matrix(part.column("v")), part.column("cid").to_numpy(zero_copy_only=False)
+                x, ids = matrix(part.column("v")) * scale, part.column("cid").to_numpy(zero_copy_only=False)
                 codes = encode(x, books.value)
                 norms = (decode(codes, books.value) ** 2).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids.astype("<i8"), codes, norms.astype("<f4"))], ["ids", "codes", "norms"])
 
     def packed(t: pa.Table) -> pa.Table:
-        return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "heads": [t["head"].to_numpy().astype("<i8").tobytes()], "vectors": [matrix(t["v"]).astype("<f4").tobytes()]})
+        return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "heads": [t["head"].to_numpy().astype("<i8").tobytes()], "vectors": [(matrix(t["v"]) * scale).astype("<f4").tobytes()]})
 
     coded = classes.select("cid", "v").mapInArrow(encoded, "ids binary, codes binary, norms binary")
     left = coded.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(n_salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
@@ -167,12 +181,16 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
             return found_arrow.empty_table()
         heads = np.frombuffer(y["heads"][0].as_py(), "<i8")
         q = np.frombuffer(y["vectors"][0].as_py(), "<f4").reshape(len(heads), -1)
-        top_score, top_ids = np.zeros((len(heads), 0), np.float32), np.zeros((len(heads), 0), np.int64)
-        for ids, codes, norms in zip(x["ids"].to_pylist(), x["codes"].to_pylist(), x["norms"].to_pylist(), strict=True):
-            ids, norms = np.frombuffer(ids, "<i8"), np.frombuffer(norms, "<f4")
-            s = scores(q, np.frombuffer(codes, np.uint8).reshape(len(ids), -1), norms, books.value)
-            top_score, top_ids = best(np.concatenate([top_score, s], axis=1), np.concatenate([top_ids, np.repeat(ids[None, :], len(heads), axis=0)], axis=1), depth)
-        return pa.Table.from_arrays([pa.array(heads), pa.array([r.tobytes() for r in top_ids], pa.binary()), pa.array([r.tobytes() for r in top_score], pa.binary())], schema=found_arrow)
+        parts = [(np.frombuffer(a, "<i8"), np.frombuffer(c, np.uint8), np.frombuffer(n, "<f4")) for a, c, n in zip(x["ids"].to_pylist(), x["codes"].to_pylist(), x["norms"].to_pylist(), strict=True)]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(heads), AT_ONCE):
+            some = q[at : at + AT_ONCE]
+            top_score, top_ids = np.zeros((len(some), 0), np.float32), np.zeros((len(some), 0), np.int64)
+            for ids, codes, norms in parts:
+                s = scores(some, codes.reshape(len(ids), -1), norms, books.value)
+                top_score, top_ids = best(np.concatenate([top_score, s], axis=1), np.concatenate([top_ids, np.repeat(ids[None, :], len(some), axis=0)], axis=1), depth)
+            found.append((top_ids, top_score))
+        return pa.Table.from_arrays([pa.array(heads), *(pa.array([r.tobytes() for f in found for r in f[k]], pa.binary()) for k in (0, 1))], schema=found_arrow)
 
     def merged(t: pa.Table) -> pa.Table:
         by: dict[int, list[int]] = {}
