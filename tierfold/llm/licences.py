@@ -1,13 +1,16 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A text's lines with licence words, each with the few lines after it, are its passages. Passages and templates are sparse
+Lines are cut into sentences. A sentence with a licence word, and what follows it up to a blank line, is a passage. Of a passage
+the windows of 1, 2, 3, 6 and 12 sentences from each licence word on, and each 12 in turn to its end, are compared with the templates, so no
+length of text keeps a notice from being found, and all of a licence file is weighed. Windows and templates are sparse
 vectors of words and word pairs with TF-IDF weights; the weights count, over all passages of all documents, how many hold
-a term (the vocabulary is the templates', so the counts are a small table). A document has the licence of its best
-passage if the cosine reaches ``LEAST``. A document that is mostly licence text, or has a licence file's name, is the
-licence file of its directory; documents without a licence of their own take that of the nearest directory above them.
+a term (the vocabulary is the templates', so the counts are a small table; other words weigh as the vocabulary's do on average, and lower
+the cosine). A document has the licence of its best window if the cosine reaches ``LEAST``, notices before paragraphs of licence bodies. A document
+that is mostly licence text, or has a licence file's name, is the licence file of its directory; documents without a licence of their own take that of the nearest directory above them.
 
 Directories are resolved once each: their ancestors are exploded (as many as the path is deep) and joined with the
-licensed directories. Documents then meet their own directory in a join that can be split.
+licensed directories. Documents then meet their own directory's answer by broadcast if these are few, else in a join with
+hot directories salted.
 
 Null or empty text: no licence of its own. Null path: the root directory. Very long texts: whole. Ties: the better
 cosine, then the name's order; among licence files of a directory the larger share, then those. Repeated rows: a row
@@ -23,14 +26,14 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierfold.llm.common import cut, map_rows
+from tierfold.llm.common import BROADCAST, cut, map_rows, meet
 
 LEAST = 0.55
 #: A document with at least this share of its words in licence passages is a licence file.
 FILE_SHARE = 0.5
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
-#: Lines that a passage goes on after its first.
-REACH = 12
+#: Sentences of a window.
+WINDOWS = (1, 2, 3, 6, 12)
 
 # Notices of common licences.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -74,9 +77,32 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",),
 }
 
+# Paragraphs of licence bodies, which licence files hold after their heads.
+BODIES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": (
+        '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.',
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "Redistribution. You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions",
+        'Disclaimer of Warranty. Unless required by applicable law or agreed to in writing, Licensor provides the Work (and each Contributor provides its Contributions) on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
+    ),
+    "BSD-3-Clause": (
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "GPL-3.0": ("The GNU General Public License is a free, copyleft license for software and other kinds of works.", "The licenses for most software and other practical works are designed to take away your freedom to share and change the works."),
+    "MIT": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    ),
+    "Unlicense": ("In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",),
+}
+
 SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
-TRIGGER = re.compile(r"licen[sc]|copyright|permission|redistribut|spdx|public domain", re.I)
+TRIGGER = re.compile(r"licen[sc]|copyright|permission|redistribut|spdx|public domain|warrant", re.I)
 WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
+#: A sentence, or a line that ends before it does.
+SENTENCE = re.compile(r"[^\n.;:!?]*(?:[.;:!?](?!\s)[^\n.;:!?]*)*(?:[.;:!?][^\S\n]*\n?|\n|\Z)")
+BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
 
 
 def terms(passage: str) -> Counter[str]:
@@ -85,64 +111,89 @@ def terms(passage: str) -> Counter[str]:
 
 
 def passages(text: str) -> list[tuple[int, int]]:
-    """(start, end) of lines with licence words and what follows up to a blank line, without overlaps."""
+    """(start, end) of paragraphs from the first line with a licence word on."""
     out: list[tuple[int, int]] = []
     at = 0
     while m := TRIGGER.search(text, at):
         start = max(at, text.rfind("\n", at, m.start()) + 1)
-        end = start
-        for _ in range(REACH):
-            stop = text.find("\n", end)
-            line_end = len(text) if stop < 0 else stop
-            if end > start and not text[end:line_end].strip():
-                break
-            end = min(line_end + 1, len(text))
-            if end == len(text):
-                break
-        out.append((start, end))
-        at = max(end, m.end())
+        stop = BLANK.search(text, m.end())
+        at = stop.end() if stop else len(text)
+        out.append((start, at))
     return out
 
 
+def windows(passage: str) -> list[tuple[int, int]]:
+    """(start, end) in a passage of what is compared with the templates."""
+    ends = [m.end() for m in SENTENCE.finditer(passage) if m.end() > m.start()]
+    starts = [0, *ends[:-1]]
+    n = len(ends)
+    found = [(k, min(n, k + w)) for k in range(n) if TRIGGER.search(passage, starts[k], ends[k]) for w in WINDOWS]
+    found += [(k, min(n, k + WINDOWS[-1])) for k in range(0, n, WINDOWS[-1])]
+    return [(starts[a], ends[b - 1]) for a, b in dict.fromkeys(found)]
+
+
 def _vocabulary() -> dict[str, int]:
-    return {t: k for k, t in enumerate(sorted({t for ts in TEMPLATES.values() for x in ts for t in terms(x)}))}
+    return {t: k for k, t in enumerate(sorted({t for kind in (TEMPLATES, BODIES) for ts in kind.values() for x in ts for t in terms(x)}))}
 
 
 class Matcher:
-    """Cosine of passages to templates. idf: by term of the vocabulary."""
+    """Cosine of windows to templates. idf: by term of the vocabulary."""
 
     def __init__(self, idf: dict[str, float]):
         self.idf = idf
+        self.other = sum(idf.values()) / max(1, len(idf))
         self.post: dict[str, list[tuple[int, float]]] = {}
-        self.names: list[str] = []
-        for name in sorted(TEMPLATES):
-            for t in TEMPLATES[name]:
-                v = self.vector(terms(t))
-                for term, w in v.items():
-                    self.post.setdefault(term, []).append((len(self.names), w))
-                self.names.append(name)
+        #: A template's licence, and whether it is of a body.
+        self.names: list[tuple[bool, str]] = []
+        for body, kind in ((False, TEMPLATES), (True, BODIES)):
+            for name in sorted(kind):
+                for t in kind[name]:
+                    for term, w in self.vector(terms(t)).items():
+                        self.post.setdefault(term, []).append((len(self.names), w))
+                    self.names.append((body, name))
 
     def vector(self, counts: Counter[str]) -> dict[str, float]:
-        v = {t: (1 + log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
+        v = {t: (1 + log(n)) * self.idf.get(t, self.other) for t, n in counts.items()}
         norm = sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()} if norm else {}
 
-    def best(self, passage: str) -> tuple[float, str, int] | None:
-        """The best (cosine, licence, words of the part) of the lines of a passage, one by one, and of the whole."""
-        m = SPDX.search(passage)
-        if m and m.group(1).removesuffix("-only").removesuffix("-or-later") in TEMPLATES:
-            return 1.0, m.group(1).removesuffix("-only").removesuffix("-or-later"), 2
-        found: tuple[float, str, int] | None = None
-        lines = [x for x in passage.split("\n") if TRIGGER.search(x)]
-        for part in dict.fromkeys([passage, *lines]):
-            score: dict[int, float] = {}
-            for t, w in self.vector(terms(part)).items():
-                for k, x in self.post.get(t, ()):
-                    score[k] = score.get(k, 0.0) + w * x
-            for k, s in score.items():
-                if found is None or (-s, self.names[k]) < (-found[0], found[1]):
-                    found = (s, self.names[k], len(part.split()))
-        return found
+    def best(self, window: str) -> tuple[bool, float, str] | None:
+        """(of a body, cosine, licence) of the best template, notices and bodies each by cosine and then name; the notice if it reaches ``LEAST``."""
+        score: dict[int, float] = {}
+        for t, w in self.vector(terms(window)).items():
+            for k, x in self.post.get(t, ()):
+                score[k] = score.get(k, 0.0) + w * x
+        found = [(s < LEAST, self.names[k][0], -s, self.names[k][1]) for k, s in score.items()]
+        if not found:
+            return None
+        _, body, s, name = min(found)
+        return body, -s, name
+
+    def of(self, text: str) -> tuple[tuple[float, str] | None, float]:
+        """A text's licence with its cosine, and the share of its words in windows that are licence text."""
+        found: list[tuple[bool, float, str]] = []
+        covered = 0
+        for s, e in passages(text):
+            passage = text[s:e]
+            m = SPDX.search(passage)
+            name = m.group(1).removesuffix("-only").removesuffix("-or-later") if m else None
+            if name in TEMPLATES:
+                found.append((False, -1.0, name))
+            parts = []
+            for a, b in windows(passage):
+                best = self.best(passage[a:b])
+                if best and best[1] >= LEAST:
+                    found.append((best[0], -best[1], best[2]))
+                    parts.append((a, b))
+            at = 0
+            for a, b in sorted(parts):
+                if b > at:
+                    covered += len(passage[max(a, at) : b].split())
+                    at = b
+        if not found:
+            return None, 0.0
+        _, cosine, name = min(found)
+        return (-cosine, name), covered / max(1, len(text.split()))
 
 
 def weights(texts: DataFrame) -> dict[str, float]:
@@ -166,7 +217,7 @@ def weights(texts: DataFrame) -> dict[str, float]:
     return {t: 1 + log((1 + total) / (1 + counts.get(t, 0))) for t in vocabulary}
 
 
-def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", bound: int = BROADCAST) -> DataFrame:
     """(doc_id, path, own_licence, cosine, licence, inherited_from) of every row."""
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
     idf = weights(rows)
@@ -177,17 +228,10 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
         def f(rows):
             out = {"doc_id": rows["doc_id"], "path": rows["path"], "own_licence": [], "cosine": [], "share": []}
             for t in rows["text"]:
-                found = None
-                covered = 0
-                for s, e in passages(t):
-                    b = m.best(t[s:e])
-                    if b and b[0] >= least:
-                        covered += b[2]
-                        if found is None or (-b[0], b[1]) < (-found[0], found[1]):
-                            found = b
+                found, share = m.of(t)
                 out["own_licence"].append(found[1] if found else None)
                 out["cosine"].append(found[0] if found else None)
-                out["share"].append(covered / max(1, len(t.split())) if found else 0.0)
+                out["share"].append(share)
             return out
 
         return f
@@ -199,6 +243,6 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     dirs = own.select("dir").distinct().select("dir", F.explode(F.array_distinct(above)).alias("above"))
-    nearest = dirs.join(licensed, "above").groupBy("dir").agg(F.max_by(F.struct("above", "given"), F.length("above")).alias("m")).select("dir", F.col("m.above").alias("above"), F.col("m.given").alias("given"))
-    out = own.join(nearest, "dir", "left")
+    nearest = cut(dirs.join(licensed, "above").groupBy("dir").agg(F.max_by(F.struct("above", "given"), F.length("above")).alias("m")).select("dir", F.col("m.above").alias("above"), F.col("m.given").alias("given")))
+    out = meet(own, nearest, ["dir"], ["dir", "above"], bound)
     return out.select("doc_id", "path", "own_licence", "cosine", F.coalesce("own_licence", "given").alias("licence"), F.when(F.col("own_licence").isNull(), F.col("above")).alias("inherited_from"))

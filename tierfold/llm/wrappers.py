@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tierfold.llm.common import cut, map_rows, schema_of
+from tierfold.llm.common import BROADCAST, cut, map_rows, meet, schema_of, weight
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,8 +77,6 @@ MOST, COPIES, TEMPLATE = 6.0, 6.5, 2.0
 FAN, RARE = 64, 20
 #: A label that comes back in more runs of siblings than this makes them prose: one list of several kinds of item.
 RUNS = 8
-#: What was learnt of all hosts is broadcast up to so many bytes.
-BROADCAST = 32 << 20
 #: Elements nested deeper become siblings.
 DEEPEST = 512
 
@@ -576,20 +574,6 @@ class Extractor:
         return "\n".join(text for leaf, text, _, inside in page.blocks if self.score(place[leaf], text, inside) >= 0)
 
 
-def meet(rows: DataFrame, model: DataFrame, weigh: list[str], bound: int) -> DataFrame:
-    """``rows`` with their host's row of ``model``, if any: by broadcast up to ``bound`` bytes of its columns ``weigh``, else by a join in which large hosts are dealt to salts."""
-    size = model.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in weigh), F.lit(64)))).first()[0] or 0
-    if size <= bound:
-        return rows.join(F.broadcast(model), "host", "left")
-    counts = cut(rows.groupBy("host").agg(F.count("*").alias("rows")))
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    large = F.broadcast(counts.where(F.col("rows") * 1024 > total).select("host", F.lit(64).alias("salts")))  # at most 1,024 hosts
-    salts = F.coalesce("salts", F.lit(1))
-    dealt = rows.join(large, "host", "left").withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "host"]), salts).cast("int")).drop("salts")
-    each = model.join(large, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return dealt.join(each, ["host", "salt"], "left").drop("salt")
-
-
 def wrappers_of(shapes: DataFrame, fan: int = FAN) -> DataFrame:
     """(host, wrapper) of (host, shape, n) rows, in groups and rounds."""
     ddl = "host string, group long, wrapper string"
@@ -638,7 +622,7 @@ def induce(pages: DataFrame, bound: int = BROADCAST) -> DataFrame:
 
         return f
 
-    each = map_rows(meet(seen.select("host", "shape", "items"), wrapper, ["wrapper"], bound), "host string, slot int, text long, pages long, first long, chars long, links long", make)
+    each = map_rows(meet(seen.select("host", "shape", "items"), wrapper, ["host"], ["wrapper"], bound), "host string, slot int, text long, pages long, first long, chars long, links long", make)
     texts = cut(each.groupBy("host", "slot", "text").agg(*[F.sum(c).alias(c) for c in ("pages", "first", "chars", "links")]))
     by_slot = texts.groupBy("host", "slot").agg(F.sum("first").alias("of"), F.sum("chars").alias("slot_chars"), F.sum("links").alias("slot_links"))
     total = by_slot.groupBy("host").agg(
@@ -656,7 +640,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     pages = df.select(df[id_col].cast("long").alias("page_id"), df[url_col].cast("string").alias("url"), F.coalesce(df[html_col].cast("string"), F.lit("")).alias("html"), host.alias("host"))
     model = cut(induce(pages, bound))
     weigh = ["wrapper", "links", "constants"]
-    small = (model.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in weigh), F.lit(64)))).first()[0] or 0) <= bound
+    small = weight(model, weigh) <= bound
 
     def make():
         get = of_late(Extractor)
@@ -673,4 +657,4 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     if not small:
         pages = map_rows(pages, "page_id long, url string, host string, packed binary", lambda: lambda r: {"page_id": r["page_id"], "url": r["url"], "host": r["host"], "packed": [Parsed.of(x).pack() for x in r["html"]]})
-    return map_rows(meet(pages, model, weigh, bound), "page_id long, url string, text string, n_chars long", make)
+    return map_rows(meet(pages, model, ["host"], weigh, bound), "page_id long, url string, text string, n_chars long", make)
