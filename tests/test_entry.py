@@ -25,3 +25,17 @@ def test_without_the_training_data_part(tmp_path):
         if leftover:
             (tmp_path / "tierfold" / "llm" / "__pycache__").mkdir(parents=True)
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_the_rest_runs_without_the_training_data_part(tmp_path):
+    shutil.copytree(ROOT / "tierfold", tmp_path / "tierfold", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    code = """
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+assert e.entry(spark).count() > 0
+q = e.queries()
+assert all(q[n](spark, "/root/testdata/sf0.001").count() > 0 for n in ("fetch_auto", "replay_late_points", "resize_plain"))
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
