@@ -8,7 +8,8 @@ own share taken out, as prior.
 
 Only the regression is fitted on a sample: at most ``SAMPLE`` labelled documents, those of the least hash of their ids.
 Rates cover all documents; they are sums grouped with map-side combining, and a host with a third of all rows is one row
-per task. The site table is joined, not collected; the numbers that reach the driver are a dozen.
+per task. The site table is joined, not collected (by broadcast if it is small, else with hot sites salted); the numbers
+that reach the driver are a dozen.
 
 Null or empty text: no evidence, the site's rate decides. Null host or path: a site of its own, ''. Very long texts:
 whole. No labels, or of one kind: evidence zero. Repeated rows: a row each, alike. Empty table: no rows. Further columns are
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tierfold.llm.common import cut, map_rows, quoted
+from tierfold.llm.common import BROADCAST, cut, map_rows, meet, quoted
 
 SAMPLE = 8192
 #: Documents with a lower probability of being good are rejected.
@@ -145,7 +146,7 @@ def _strength(rates: DataFrame, n: str, s: str) -> tuple[float, float]:
     return mean, float(min(1e6, max(1.0, mean * (1 - mean) / spread - 1))) if spread > 1e-9 else 1e6
 
 
-def posterior(scored: DataFrame) -> DataFrame:
+def posterior(scored: DataFrame, bound: int = BROADCAST) -> DataFrame:
     """(host, path, evidence, ...) rows with the posterior; host and path aren't null."""
     p = 1 / (1 + F.exp(-F.col("evidence")))
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum(p).alias("s_path")))
@@ -156,7 +157,7 @@ def posterior(scored: DataFrame) -> DataFrame:
     host_rate = (F.col("s_host") - p + above_host * rate) / (F.col("n_host") - 1 + above_host)
     path_rate = (F.col("s_path") - p + above_path * host_rate) / (F.col("n_path") - 1 + above_path)
     prior = F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), path_rate))
-    return scored.join(sites, ["host", "path"]).withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.log(prior / (1 - prior))))))
+    return meet(scored, sites, ["host", "path"], ["host", "path"], bound).withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.log(prior / (1 - prior))))))
 
 
 def score(df: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
@@ -172,6 +173,6 @@ def keep_good(df: DataFrame, labels: DataFrame, host_col: str = "source", path_c
     model = train(df, labels, id_col, text_col)
     site = [F.coalesce(df[host_col].cast("string"), F.lit("")).alias("host"), F.coalesce(df[path_col].cast("string"), F.lit("")).alias("path")]
     rows = F.struct(*[df[quoted(c)].alias(f"c{k}") for k, c in enumerate(df.columns)]).alias("row")
-    scored = with_evidence(df, model, text_col, [rows, *site], "evidence")
+    scored = cut(with_evidence(df, model, text_col, [rows, *site], "evidence"))  # rates and decisions both read it
     good = posterior(scored).where(F.col("posterior") >= keep)
     return good.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(df.columns)])
