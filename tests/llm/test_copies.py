@@ -120,13 +120,59 @@ def test_copies_beyond_the_radius(spark, monkeypatch, crowd):
 
 def test_first_pairs_miss_none():
     rng = random.Random(8)
-    base = [np.array(sorted(rng.sample(range(10**6), rng.randrange(1, 60))), np.uint64) for _ in range(20)]
-    sets = base + [np.unique(np.concatenate([rng.choice(base)[rng.randrange(3) :], np.array(rng.sample(range(10**6), rng.randrange(4)), np.uint64)])) for _ in range(300)]
+    base = [np.array(sorted(rng.sample(range(10**6), rng.randrange(1, 60))), np.uint64) << np.uint64(30) for _ in range(20)]
+    sets = base + [np.unique(np.concatenate([rng.choice(base)[rng.randrange(3) :], np.array(rng.sample(range(10**6), rng.randrange(4)), np.uint64) << np.uint64(30)])) for _ in range(300)]
     sets = [x for x in sets if len(x)]
-    common = (base[0], np.full(len(base[0]), 3))
+    common = np.zeros(copies.CELLS, np.uint8)
+    common[copies.cells_of(base[0])] = 3
     first = [copies.first_shingles(x, common, 0.8) for x in sets]
-    who = np.repeat(np.arange(len(sets)), [len(x) for x, _ in first])
-    u, v, shared, needed = copies.first_pairs(np.concatenate([x for x, _ in first]), who, who, np.array([n for _, n in first])[who], 0.8)
+    assert all(len(x) < 3 or not np.isin(x, base[0]).all() or np.isin(s, base[0]).mean() > 0.7 for x, s in zip(first, sets))
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in first])
+    u, v, shared, needed = copies.first_pairs(np.concatenate(first), who, who, np.array([len(x) for x in sets])[who], 0.8)
     found = {(int(b), int(a)) for a, b, s, k in zip(u, v, shared, needed) if s >= k}
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (k := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - k)}
     assert want and want <= found
+
+
+def test_shingles_as_word_tuples():
+    rng = random.Random(9)
+    seen = {}
+    for n in (0, 1, 3, 4, 5, 6, 50, 400):
+        w = [rng.choice("abcdefgh").encode() for _ in range(n)]
+        want = {tuple(w[i : i + 5]) for i in range(n - 4)} if n >= 5 else {tuple(w)} if n else set()
+        got = copies.shingle_set(copies.word_hashes(w))
+        assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
+        for t in want:
+            h = int(copies.shingle_set(copies.word_hashes(list(t)))[0])
+            assert h in got and seen.setdefault(h, t) == t
+
+
+def test_parity_differs_no_more_than_the_sets():
+    rng = np.random.default_rng(10)
+    for _ in range(100):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(0, 900), np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 2**63, rng.integers(0, 200), np.uint64)]))
+        x, y = (np.frombuffer(copies.parity(s), np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_common_shingles_are_found(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(f"own{i} a{i} b{i} c{i} d{i} e{i} " + (passage if i % 2 else " ".join(f"x{i}y{k}" for k in range(60))),) for i in range(400)]
+    table = copies.common_cells(spark.createDataFrame(rows, "text string").selectExpr("cast(text as binary) as text"))
+    shared = copies.shingle_set(copies.word_hashes(passage.encode().split()))
+    assert (table[copies.cells_of(shared)] >= 2).all() and (table > 0).sum() < 120
+
+
+def test_repeated_ids_have_a_defined_result(spark):
+    """Of the texts of one doc_id that of the least digest stands for it, in whatever order the rows come."""
+    texts = [" ".join(f"w{k}x{j}" for k in range(30)) for j in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1]), (4, texts[2]), (4, texts[3]), (5, texts[3]), (4, texts[2]), (None, texts[2]), (9, texts[5])]
+    got = []
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got.append({r.doc_id: r.group for r in copies.groups(df).collect()})
+    assert got[0] == got[1] == got[2]
+    stands = {i: min((copies.digest(t.encode().split()), t) for j, t in rows if j == i)[1] for i in (1, 2, 3, 4, 5, 9)}
+    want = {i: min(j for j, u in stands.items() if u == t) for i, t in stands.items()}
+    assert got[0] == want | {None: None}
