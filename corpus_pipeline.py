@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierfold.llm import copies, packing, quality, secrets, suffixes
-from tierfold.llm.common import shared_dir, table
+from tierfold.llm.common import modest, shared_dir, table
 from tierfold.llm.queries import END_ID, vocabulary
 from tierfold.sources.shared import findable
 
@@ -49,7 +49,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _stage(f):
-    return lambda spark, docs, sf_dir: f(findable(spark), docs, sf_dir)
+    return lambda spark, docs, sf_dir: f(modest(findable(spark)), docs, sf_dir)
 
 
 STAGES = [

@@ -21,7 +21,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from tierfold.llm.common import map_rows, text_rows
+from tierfold.llm.common import keeps, map_rows, text_rows
 
 #: Bits of one word of the bitmap; 256 words cover 65,536 ranks.
 WIDTH = 256
@@ -193,6 +193,7 @@ def encoder(vocabulary: str, pattern: str) -> Encoder:
     if key not in _made:
         _made[key] = Encoder(load_ranks(vocabulary), pattern)
         rarely_collect()
+        keeps(__name__, _made.clear)
     return _made[key]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from tierfold.sources.shared import settle as cut
 from tierfold.sources.shared import shared_folder as shared_dir
 
-__all__ = ["cut", "map_rows", "meet", "quoted", "schema_of", "shared_dir", "table", "text_rows", "weight"]
+__all__ = ["cut", "map_rows", "meet", "modest", "quoted", "schema_of", "shared_dir", "table", "text_rows", "weight"]
 
 #: Rows that a Python function sees at once; with the 64 MB that Spark puts in an Arrow batch at most.
 STEP = 1024
@@ -21,7 +23,16 @@ STEP = 1024
 BROADCAST = 32 << 20
 
 
+def modest(spark: SparkSession) -> SparkSession:
+    """Arrow batches of whole texts as small as ``map_rows`` takes them, where the session has Spark's default: larger ones only take memory."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, str(STEP))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,6 +63,14 @@ def keeps(module: str, clear: Callable[[], None]) -> None:
 def _enter(module: str) -> None:
     for other in [m for m in _kept if m != module]:
         _kept.pop(other)()
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_rows(df: DataFrame, ddl: str | StructType, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
@@ -69,6 +88,7 @@ def map_rows(df: DataFrame, ddl: str | StructType, make: Callable[[], Callable[[
             for at in range(0, whole.num_rows, STEP):
                 out = f({name: c.to_pylist() for name, c in zip(names, whole.slice(at, STEP).columns, strict=True)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[name], x.type) for name, x in zip(fields, arrow, strict=True)], schema=arrow)
+        give_back()
 
     return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, plain).toDF(*fields)
 

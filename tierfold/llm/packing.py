@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tierfold.llm.bpe import Known, rarely_collect
-from tierfold.llm.common import cut, map_rows, schema_of, text_rows
+from tierfold.llm.common import cut, keeps, map_rows, schema_of, text_rows
 
 CAPACITY = 1024
 #: Bins that are open at a time, and pieces that are read ahead.
@@ -76,6 +76,7 @@ def ids_of(vocabulary: str, pattern: str) -> Ids:
     if key not in _made:
         _made[key] = Ids(vocabulary, pattern)
         rarely_collect()
+        keeps(__name__, _made.clear)
     return _made[key]
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from tierfold.llm.common import quoted, schema_of
+from tierfold.llm.common import give_back, quoted, schema_of
 
 LENGTH = 50
 GRAM = 16
@@ -507,10 +507,15 @@ def _found(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None):
     repeats, repeats_arrow = arrow("run int, ids binary")
     suffixes, suffixes_arrow = arrow("bucket int, run int, lcp binary, tail binary, least binary, several binary")
     results, results_arrow = arrow("run int, bucket int, ids binary, row binary, first binary, last binary, least binary")
-    a = docs.groupBy("run").applyInArrow(lambda t: pa.Table.from_pylist(send_hashes(t, buckets), hashes_arrow), hashes)
-    b = a.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_pylist(find_repeats(t), repeats_arrow), repeats)
-    c = docs.groupBy("run").cogroup(b.groupBy("run")).applyInArrow(lambda x, y: pa.Table.from_pylist(send_suffixes(x, y, buckets), suffixes_arrow), suffixes)
-    d = c.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_pylist(resolve(t), results_arrow), results)
+    def sent(rows: list[dict], schema: pa.Schema) -> pa.Table:
+        out = pa.Table.from_pylist(rows, schema)
+        give_back()
+        return out
+
+    a = docs.groupBy("run").applyInArrow(lambda t: sent(send_hashes(t, buckets), hashes_arrow), hashes)
+    b = a.groupBy("bucket").applyInArrow(lambda t: sent(find_repeats(t), repeats_arrow), repeats)
+    c = docs.groupBy("run").cogroup(b.groupBy("run")).applyInArrow(lambda x, y: sent(send_suffixes(x, y, buckets), suffixes_arrow), suffixes)
+    d = c.groupBy("bucket").applyInArrow(lambda t: sent(resolve(t), results_arrow), results)
     return docs, d, buckets
 
 
