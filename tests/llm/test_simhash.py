@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from tests.llm.cases import empty_documents, odd_documents
+from tierfold.llm import components as components_module
 from tierfold.llm import simhash
 from tierfold.llm.components import components
 
@@ -104,6 +105,47 @@ def test_chain_and_empty(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def edges_brute(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("few", [None, 50])
+def test_components_by_one_task_or_rounds(spark, monkeypatch, few):
+    if few:
+        monkeypatch.setattr(components_module, "FEW", few)
+    rng = random.Random(4)
+    edges = [tuple(rng.randrange(-400, 400) * 10**14 for _ in "uv") for _ in range(450)]
+    edges += [(i, i + 1) for i in range(1, 90)] + [(10**18, 10**18 + k) for k in range(300)] + [(5, None), (7, 7)] + edges[:50]
+    rows = components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()
+    assert len(rows) == len({r.node for r in rows})
+    assert {r.node: r.component for r in rows} == edges_brute(edges)
+
+
+def test_small_graph_takes_few_tasks(spark):
+    """However long its paths: each task of a round leaves files and lines of the log."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
+    spark.sparkContext.setJobGroup("few tasks", "")
+    try:
+        assert {r.component for r in components(edges).collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few tasks") for s in told.getJobInfo(j).stageIds}
+    tasks = sum(i.numTasks for s in stages if (i := told.getStageInfo(s)))
+    assert 0 < tasks <= 40
+
+
 def test_odd_rows(spark):
     rows = simhash.near_duplicates(odd_documents(spark)).collect()
     assert len(rows) == 10

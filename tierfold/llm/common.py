@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from tierfold.sources.shared import settle as cut
 from tierfold.sources.shared import shared_folder as shared_dir
 
-__all__ = ["cut", "map_rows", "meet", "modest", "quoted", "schema_of", "shared_dir", "table", "text_rows", "weight"]
+__all__ = ["cut", "lean", "map_rows", "meet", "modest", "quoted", "schema_of", "shared_dir", "table", "text_rows", "weight"]
 
 #: Rows that a Python function sees at once; with the 64 MB that Spark puts in an Arrow batch at most.
 STEP = 1024
@@ -93,6 +93,11 @@ def map_rows(df: DataFrame, ddl: str | StructType, make: Callable[[], Callable[[
     return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, plain).toDF(*fields)
 
 
+def lean(settled: DataFrame) -> DataFrame:
+    """A settled table read by few tasks: enough to count it, as each task costs files and lines of the log."""
+    return settled.coalesce(max(32, settled.sparkSession.sparkContext.defaultParallelism))
+
+
 def weight(df: DataFrame, columns: list[str]) -> int:
     """About the bytes of a table whose long columns are these."""
     return df.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(64)))).first()[0] or 0

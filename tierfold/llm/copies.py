@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tierfold.llm import simhash
-from tierfold.llm.common import cut, keeps, map_rows, schema_of, text_rows
-from tierfold.llm.components import components
+from tierfold.llm.common import cut, keeps, lean, map_rows, schema_of, text_rows
+from tierfold.llm.components import components, stars
 from tierfold.llm.suffixes import coded, decoded
 
 SHINGLE, LEAST = 5, 0.8
@@ -221,28 +221,6 @@ def sets_of(texts: DataFrame, members: DataFrame) -> DataFrame:
     return with_texts(texts, members.select("node", "k1", "block", "n", "bundle"), "node long, block long, n long, bundle long, shingles binary", make)
 
 
-def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its component) for the nodes of some edges that aren't least themselves."""
-    ids, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = inverse[: len(u)], inverse[len(u) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while True:
-            jumped = new[new]
-            if (jumped == new).all():
-                break
-            new = jumped
-        if (new == label).all():
-            break
-        label = new
-    on = label != np.arange(len(ids))
-    return ids[on], ids[label[on]]
-
-
 def bucket_links(held: tuple[np.ndarray, np.ndarray, np.ndarray], asks: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars of the pairs within ``radius`` bits that meet in a value. held, asks: values, fingerprints, nodes."""
     order = np.argsort(held[0], kind="stable")
@@ -400,7 +378,7 @@ def similar(texts: DataFrame, places: DataFrame, least: float = LEAST) -> DataFr
         return pa.concat_tables([inside(t.slice(s, e - s)) for s, e in zip(edges[:-1], edges[1:], strict=True)])
 
     sizes = cut(places.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"))
-    told = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    told = lean(sizes).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
     bundles = max(1, (told["n"] or 0) // BLOCK)
     sized = cut(places.join(sizes, "block").withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(bundles))))
     few_rows = sets_of(texts, sized.where(F.col("n") <= BLOCK)).withColumn("hub", F.lit(0))
@@ -497,7 +475,7 @@ def first_pairs(value: np.ndarray, node: np.ndarray, label: np.ndarray, size: np
 
 def further(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(u, v) links of (node, k1, label, size, parity) rows that join the components of all similar pairs of different labels."""
-    shingles = nodes.agg(F.sum("size")).first()[0] or 0
+    shingles = lean(nodes).agg(F.sum("size")).first()[0] or 0
     n_sets, crowd = max(1, int((1 - least) * shingles) // TOKENS), CROWD
     common = texts.sparkSession.sparkContext.broadcast(common_cells(texts))
     ddl = "set long, value binary, at binary, node binary, label binary, size binary"
@@ -548,7 +526,7 @@ def further(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         return {"u": rows["u"], "v": rows["v"], "near": (differ <= most + 1e-6).tolist()}
 
     edges = map_rows(both, "u long, v long, near boolean", lambda: near).where("near").select("u", "v").union(met.where("needed = 0").select("u", "v"))
-    blocks = cut(components(edges).withColumnRenamed("component", "block"))
+    blocks = components(edges).withColumnRenamed("component", "block")
     return similar(texts, blocks.join(nodes.select("node", "k1"), "node"), least)
 
 
@@ -563,7 +541,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     near = blocks(heads.select(F.col("head").alias("node"), "fp"), radius).select(F.col("node").alias("head"), "block")
     put = heads.join(near, "head", "left").where("n > 1 or block is not null").select("fp", F.coalesce("block", "head").alias("block"))
     texts = text_rows(df, id_col, text_col, binary=True)
-    labels = cut(components(similar(texts, nodes.join(put, "fp").select("node", "k1", "block"), least)))
+    labels = components(similar(texts, nodes.join(put, "fp").select("node", "k1", "block"), least))
     labelled = cut(nodes.join(labels, "node", "left").select("node", "k1", F.coalesce("component", "node").alias("label"), "size", "parity"))
     labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(further(labelled, texts, least)))
     by_text = nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("group"))
